@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import quantiles, tokens
+from tidewell.llm import conversations, pairs, quantiles, tokens
 from tidewell.runtime import materialise, table
 
 MEASURES = ["sepal_length", "petal_length"]
@@ -28,12 +28,27 @@ def p1_daily_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.percentiles(_day_digests(spark, sf_dir), ["species", "measured_on"], [0.5])
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every defective pair with its defect."""
+    return pairs.defective_pairs(table(spark, sf_dir, "assistant_event"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sessions to drop."""
+    return conversations.sessions_to_drop(conversations.buffers(spark, f"{sf_dir}/assistant_event.parquet"))
+
+
+def p5_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages of all sessions that can be rebuilt."""
+    return conversations.conversations(table(spark, sf_dir, "assistant_event"), p5_found(spark, sf_dir))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_daily_medians, p6_ids)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_daily_medians, p3_found, p5_found, p5_conversations, p6_ids)}
 
 _CELLS = """
 WITH once AS (SELECT species, measured_on, sepal_length, petal_length FROM iris QUALIFY row_number() OVER (PARTITION BY sample_id) = 1),
@@ -55,8 +70,35 @@ def _ranked(keys: str, fractions: list[float]) -> str:
     FROM ranked, (VALUES {ps}) AS f(p) WHERE r = greatest(CAST(ceil(round(CAST(p AS DOUBLE) * n, 6)) AS BIGINT), 1)"""
 
 
+_MESSAGES = """
+WITH raw AS (
+  SELECT session_id, sequence, CASE WHEN json_type(payload_json) = 'VARCHAR' THEN CAST(json_extract_string(payload_json, '$') AS JSON) ELSE CAST(payload_json AS JSON) END AS e
+  FROM assistant_event),
+m AS (
+  SELECT session_id, sequence, any_value(json_extract_string(e, '$.type')) AS type, any_value(json_extract_string(e, '$.turnId')) AS turn, any_value(json_extract_string(e, '$.payload.runId')) AS run,
+         any_value(json_extract_string(e, '$.payload.role')) AS role, any_value(coalesce(json_extract_string(e, '$.payload.userMessage'), json_extract_string(e, '$.payload.finalText'))) AS text
+  FROM raw GROUP BY ALL),
+turns AS (
+  SELECT session_id, turn, count(*) FILTER (type = 'turn_started') AS s, count(*) FILTER (type = 'turn_completed') AS f,
+         min(sequence) FILTER (type = 'turn_started') AS a, min(sequence) FILTER (type = 'turn_completed') AS b
+  FROM m WHERE type IN ('turn_started', 'turn_completed') AND turn IS NOT NULL GROUP BY ALL),
+runs AS (
+  SELECT session_id, run, count(*) FILTER (type = 'agent_run_started') AS s, count(*) FILTER (type = 'agent_run_finished') AS f, min(coalesce(role, '')) AS r0, max(coalesce(role, '')) AS r1
+  FROM m WHERE type IN ('agent_run_started', 'agent_run_finished') AND run IS NOT NULL GROUP BY ALL),
+dropped AS (
+  SELECT session_id FROM m WHERE session_id NOT IN (SELECT session_id FROM turns)
+  UNION SELECT session_id FROM turns WHERE NOT (s = 1 AND f = 1 AND a < b)
+  UNION SELECT session_id FROM (SELECT session_id, a, lag(b) OVER (PARTITION BY session_id ORDER BY a) AS p FROM turns WHERE a IS NOT NULL AND b IS NOT NULL) WHERE p > a
+  UNION SELECT session_id FROM runs WHERE NOT (s = 1 AND f = 1 AND r0 = r1 AND r0 IN ('manager', 'data', 'stats', 'plot', 'report', 'review')))
+"""
+
 #: Exact while no group has twice K rows (sf0.01): up to that size a digest has nothing to compress.
 SQL = {
     "p1_percentiles": _ranked("species", FRACTIONS),
+    "p5_found": _MESSAGES + "SELECT session_id FROM dropped",
+    "p5_conversations": _MESSAGES
+    + """SELECT m.session_id, m.turn AS turn_id, t.a AS turn_start, m.sequence, CASE type WHEN 'turn_started' THEN 'user' WHEN 'turn_completed' THEN 'assistant' ELSE role END AS role, text
+    FROM m LEFT JOIN turns t ON t.session_id = m.session_id AND t.turn = m.turn
+    WHERE type IN ('turn_started', 'turn_completed', 'agent_run_started', 'agent_run_finished') AND m.turn IS NOT NULL AND m.session_id NOT IN (SELECT session_id FROM dropped)""",
     "p1_daily_medians": _ranked("species, measured_on", [0.5]),
 }
