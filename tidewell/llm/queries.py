@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import conversations, pairs, quantiles, tokens
+from tidewell.llm import conversations, garbled, leaks, pairs, quantiles, tokens
 from tidewell.runtime import materialise, table
 
 MEASURES = ["sepal_length", "petal_length"]
@@ -48,7 +48,27 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_daily_medians, p3_found, p5_found, p5_conversations, p6_ids)}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the evaluation items it leaks."""
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaks with the words they share and whether the whole item is there."""
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The garbled documents."""
+    return garbled.restore(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The garbled documents with the text restored and the chains that did it."""
+    return garbled.restore(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_daily_medians, p3_found, p5_found, p5_conversations, p6_ids, p7_found, p7_report, p8_found, p8_restored)}
 
 _CELLS = """
 WITH once AS (SELECT species, measured_on, sepal_length, petal_length FROM iris QUALIFY row_number() OVER (PARTITION BY sample_id) = 1),
