@@ -45,6 +45,8 @@ def node_of(x: Column) -> Column:
 
 def _fold(group: np.ndarray, node: np.ndarray, count: np.ndarray, high: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sum up equal (group, node) pairs; sorted by them."""
+    if not len(group):
+        return group, node, count, high, limit
     order = np.lexsort((node, group))
     group, node, count, high, limit = (a[order] for a in (group, node, count, high, limit))
     first = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (node[1:] != node[:-1])])
