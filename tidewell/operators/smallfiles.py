@@ -151,7 +151,7 @@ def compact_folder(spark: SparkSession, source: str | list[str], out: str, fmt:
 def _move(spark: SparkSession, source: str, target: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = path(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.rename(path(source), path(target)):
+    if fs.exists(path(target)) or not fs.rename(path(source), path(target)):
         raise RuntimeError(f"{source} can't be moved to {target}")
 
 
