@@ -57,6 +57,15 @@ def test_classical_tests_against_arrays(xy):
     s = sum(np.sign(p.y[j] - p.y[i]) for i in range(n) for j in range(i + 1, n))
     assert near(H.mann_kendall(df, "y", "i")["s"], s)
     assert near(H.fisher_exact([[3, 1], [1, 3]])["p_value"], 0.4857142857, 1e-8)
+    few = df.where("i < 9").selectExpr("y - 0.5 as d")
+    d = p.y[:9] - 0.5
+    r = d.abs().rank()
+    w = r[d > 0].sum()
+    sums = [sum(v for v, bit in zip(r, f"{m:09b}") if bit == "1") for m in range(512)]
+    assert near(H.wilcoxon(few, "d")["p_value"], np.mean([abs(s - r.sum() / 2) >= abs(w - r.sum() / 2) - 1e-9 for s in sums]))
+    k, m = int(p.c.sum()), 1.2 * n
+    pm = np.array([math.exp(j * math.log(m) - m - math.lgamma(j + 1)) for j in range(1500)])
+    assert near(H.poisson_rate(df, "c", 1.2)["p_value"], pm[pm <= pm[k] * (1 + 1e-7)].sum(), 1e-6)
     with pytest.raises(Exception):  # noqa: B017
         H.t_one_sample(df.selectExpr("case when i = 3 then null else y end as y"), "y")
 
@@ -242,3 +251,32 @@ def test_formula():
     for bad in ("x +", "import(1)", "x.y", "(x", "x x"):
         with pytest.raises(ValueError):
             formula.parse(bad)
+
+
+def test_more_diagnostics(xy):
+    from tidewell.stats import diagnostics as DI
+
+    p, df = xy
+    n = len(p)
+    e = p.y - p.y.mean()
+    s, k = (e**3).mean() / (e**2).mean() ** 1.5, (e**4).mean() / (e**2).mean() ** 2
+    assert near(DI.normality(df, "y")["jarque_bera"], n / 6 * (s * s + (k - 3) ** 2 / 4)) and 0 < DI.normality(df, "y")["omnibus_p"] < 1
+    val = np.sort(np.linalg.eigvalsh(p[["x1", "x2", "y"]].corr()))
+    assert near(DI.harman(df, ["x1", "x2", "y"])["first_component_ratio"], val[-1] / 3)
+    small, large = L.fit(df, "y", ["x1"]), L.fit(df, "y", ["x1", "x2"])
+    c = DI.nested_comparison(small, large)
+    assert near(c["f"], (large.beta[2] / math.sqrt(large.covariance[2, 2])) ** 2)
+    assert DI.information_matrix(df, large)["df"] == 5 + 3 + 1
+    h = DI.treatment_heterogeneity(df, "y", "b", "g")
+    want = [p.y[(p.g == g) & (p.b == 1)].mean() - p.y[(p.g == g) & (p.b == 0)].mean() for g in "abc"]
+    assert near(list(h["effects"].values()), want)
+    m = MO.logit(df, "b", ["x1"])
+    a = DI.adjusted_prediction(df, ["x1"], m, "logit")
+    assert near(a["prediction"], p.b.mean(), 1e-4) and a["lower"] < a["prediction"] < a["upper"]
+    assert near(DI.adjusted_prediction(df, ["x1", "x2"], large, at={"x1": 1.0})["prediction"], large.beta[0] + large.beta[1] + large.beta[2] * p.x2.mean())
+    sv = DI.survey_glm(df.selectExpr("*", "1.0 as w"), "b", ["x1"], "w")
+    assert near(sv["parameters"], m["parameters"], 1e-5) and (sv["se"] > 0).all()
+    r = DI.reclassification(df.selectExpr("b", "0.5 as r", "1 / (1 + exp(-x1)) as q"), "b", "r", "q")
+    q = 1 / (1 + np.exp(-p.x1))
+    assert near(r["idi"], q[p.b == 1].mean() - q[p.b == 0].mean()) and near(r["nri_events"], np.sign(q[p.b == 1] - 0.5).mean())
+    assert DI.subgroup_cox(df, "t", "b", "x1", "g")["df"] == 2 and DI.odds_ratios(m)[1]["odds_ratio"] > 1

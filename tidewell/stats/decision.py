@@ -218,11 +218,12 @@ def conjoint(df: DataFrame, rating: str, factors: list[str]) -> dict:
 
 # -- matrices of judgments (small, on the driver) ------------------------------------------------------------------
 
-#: Mean random consistency indices for 1..15 criteria (fixed values).
-RANDOM_INDEX = (0, 0, 0.52, 0.89, 1.12, 1.26, 1.36, 1.41, 1.46, 1.49, 1.52, 1.54, 1.56, 1.58, 1.59)
+#: Mean consistency indices of random judgments of 1 to 15 criteria after Tummala and Ling (fixed values).
+RANDOM_INDEX = (0, 0, 0.5799, 0.8921, 1.1159, 1.2358, 1.3322, 1.3952, 1.4537, 1.4882, 1.5117, 1.5356, 1.5571, 1.5714, 1.5831)
 
 
-def ahp(a: np.ndarray) -> dict:
+def ahp(a: np.ndarray, random_index: float = 0.0) -> dict:
+    """Weights by the principal eigenvector; without a random index for the order the consistency ratio is None."""
     a = np.asarray(a, float)
     n = len(a)
     if not np.allclose(np.log(a * a.T), 0, atol=1e-8):
@@ -231,8 +232,8 @@ def ahp(a: np.ndarray) -> dict:
     i = int(np.argmax(val.real))
     w = _normal(np.abs(vec[:, i].real))
     ci = (val[i].real - n) / (n - 1) if n > 1 else 0.0
-    ri = RANDOM_INDEX[n - 1] if n <= len(RANDOM_INDEX) else RANDOM_INDEX[-1]
-    return {"weights": w, "lambda_max": val[i].real, "consistency_index": ci, "consistency_ratio": ci / ri if ri else 0.0}
+    ri = random_index or (RANDOM_INDEX[n - 1] if n <= len(RANDOM_INDEX) else 0.0)
+    return {"weights": w, "lambda_max": val[i].real, "consistency_index": ci, "random_index": ri or None, "consistency_ratio": ci / ri if ri else None}
 
 
 def fahp(a: np.ndarray) -> np.ndarray:

@@ -129,10 +129,27 @@ def proportion_multiple(pairs: list[float]) -> dict:
 
 
 def poisson_rate(df: DataFrame, x: str, null_rate: float, alternative: str = "two_sided") -> dict:
+    """Exact; two-sided sums all counts that are no likelier than the observed one."""
     r = df.agg(F.sum(operand(x)).alias("k"), F.count(F.lit(1)).alias("n")).first()
     k, mean = int(r["k"]), null_rate * r["n"]
     up, down = sp.poisson_sf(k, mean), 1 - sp.poisson_sf(k + 1, mean)
-    return {"events": k, "estimate": k / r["n"], "p_value": {"greater": up, "less": down}.get(alternative, min(1.0, 2 * min(up, down)))}
+    log_pmf = lambda j: j * math.log(mean) - mean - math.lgamma(j + 1)
+    here = log_pmf(k) + 1e-7
+    if k <= mean:  # the first count above the mean that is no likelier, by bisection on the falling side
+        a, b = math.floor(mean), math.ceil(mean) + 1
+        while log_pmf(b) > here:
+            b *= 2
+        while b - a > 1:
+            mid = (a + b) // 2
+            a, b = (a, mid) if log_pmf(mid) <= here else (mid, b)
+        both = down + sp.poisson_sf(b, mean)
+    else:
+        a, b = -1, math.floor(mean)
+        while b - a > 1:
+            mid = (a + b) // 2
+            a, b = (mid, b) if log_pmf(mid) <= here else (a, mid)
+        both = up + (1 - sp.poisson_sf(a + 1, mean) if a >= 0 else 0.0)
+    return {"events": k, "estimate": k / r["n"], "p_value": {"greater": up, "less": down}.get(alternative, min(1.0, both))}
 
 
 def equivalence(df: DataFrame, x: str, lower: float, upper: float) -> dict:
@@ -181,7 +198,9 @@ def mcnemar(df: DataFrame, before: str, after: str) -> dict:
     if b + c == 0:
         raise ValueError("no discordant pair")
     stat = (b - c) ** 2 / (b + c)
-    return {"statistic": stat, "b": b, "c": c, "p_value": sp.chi2_sf(stat, 1)}
+    least, n = min(b, c), b + c
+    p = 1.0 if b == c else min(1.0, 2 * (1 - sp.beta_inc(least + 1, n - least, 0.5)))  # exact binomial of the discordant pairs
+    return {"statistic": stat, "b": b, "c": c, "p_value": p}
 
 
 def cmh(df: DataFrame, exposed: str, outcome: str, strata: str) -> dict:
@@ -227,7 +246,7 @@ def bartlett(df: DataFrame, x: str, group: str) -> dict:
 
 
 def mann_whitney(df: DataFrame, x: str, group: str, first: object, second: object, alternative: str = "two_sided") -> dict:
-    """Normal approximation with tie correction and continuity correction."""
+    """Normal approximation with tie correction, without continuity correction."""
     cells = rank_counts(df.where(F.col(group).isin(first, second)), x, group)
     r = cells.groupBy("g").agg(F.sum(F.col("k") * F.col("r")).alias("rs"), F.sum("k").alias("n")).collect()
     by = {a["g"]: a for a in r}
@@ -236,9 +255,7 @@ def mann_whitney(df: DataFrame, x: str, group: str, first: object, second: objec
     tie = cells.dropDuplicates(["v"]).agg(F.sum(F.pow("t", 3) - F.col("t")).alias("s")).first()["s"]
     u = by[first]["rs"] - n1 * (n1 + 1) / 2
     mean, var = n1 * n2 / 2, n1 * n2 / 12 * ((n + 1) - tie / (n * (n - 1)))
-    d = u - mean
-    shift = {"greater": -0.5, "less": 0.5}.get(alternative, -0.5 * np.sign(d))
-    z = (d + shift) / math.sqrt(var)
+    z = (u - mean) / math.sqrt(var)
     return {"statistic": u, "z": z, "p_value": _z(z, alternative)}
 
 
@@ -253,22 +270,33 @@ def kruskal_wallis(df: DataFrame, x: str, group: str) -> dict:
 
 def mood_median(df: DataFrame, x: str, group: str) -> dict:
     m = df.agg(F.median(operand(x))).first()[0]
-    g = df.groupBy(group).agg(F.count_if(operand(x) > m).alias("a"), F.count_if(operand(x) <= m).alias("b")).toPandas()
+    g = df.groupBy(group).agg(F.count_if(operand(x) > m).alias("a"), F.count_if(operand(x) < m).alias("b")).toPandas()  # ties with the median are left out
     return chi2_table(g[["a", "b"]].to_numpy()) | {"median": m}
 
 
 def wilcoxon(df: DataFrame, x: str, null_median: float = 0.0, alternative: str = "two_sided") -> dict:
-    """Signed ranks without zeros; normal approximation with tie and continuity correction."""
+    """Signed ranks without zeros: all signs are counted up to 20 differences, beyond that a normal approximation with the
+    variance of the ranks as they are and without continuity correction."""
     d = df.select((operand(x) - null_median).alias("d")).where("d <> 0").select(F.abs("d").alias("v"), (F.col("d") > 0).alias("g"))
     cells = rank_counts(d, "v", "g")
-    r = cells.agg(F.sum(F.when(F.col("g"), F.col("k") * F.col("r")).otherwise(0.0)).alias("w"), F.sum("k").alias("n")).first()
-    tie = cells.dropDuplicates(["v"]).agg(F.sum(F.pow("t", 3) - F.col("t")).alias("s")).first()["s"]
+    r = cells.agg(F.sum(F.when(F.col("g"), F.col("k") * F.col("r")).otherwise(0.0)).alias("w"), F.sum("k").alias("n"), F.sum(F.col("k") * F.col("r")).alias("s"), F.sum(F.col("k") * F.col("r") ** 2).alias("q")).first()
     n, w = r["n"], r["w"]
-    mean, var = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24 - tie / 48
-    diff = w - mean
-    shift = {"greater": -0.5, "less": 0.5}.get(alternative, -0.5 * np.sign(diff))
-    z = (diff + shift) / math.sqrt(var)
-    return {"statistic": w, "z": z, "n": n, "p_value": _z(z, alternative)}
+    z = (w - r["s"] / 2) / math.sqrt(r["q"] / 4)
+    p = _signs(cells, w, r["s"], alternative) if n <= 20 else _z(z, alternative)
+    return {"statistic": w, "z": z, "n": n, "p_value": p}
+
+
+def _signs(cells: DataFrame, w: float, total: float, alternative: str) -> float:
+    """The share of all sign patterns that are as extreme; at most 20 ranks, doubled to be whole."""
+    ways = np.zeros(int(round(2 * total)) + 1)
+    ways[0] = 1.0
+    for c in cells.collect():
+        step = int(round(2 * c["r"]))
+        for _ in range(c["k"]):
+            ways[step:] = ways[step:] + ways[:-step]
+    sums = np.arange(len(ways)) / 2
+    as_extreme = {"greater": sums >= w - 1e-9, "less": sums <= w + 1e-9}.get(alternative, np.abs(sums - total / 2) >= abs(w - total / 2) - 1e-9)
+    return float(ways[as_extreme].sum() / ways.sum())
 
 
 def wilcoxon_paired(df: DataFrame, before: str, after: str, alternative: str = "two_sided") -> dict:
