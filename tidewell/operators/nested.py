@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.runtime import scratch_path
+from tidewell.runtime import scratch_path, spread
 
 #: Child tables: tag, types of the event that has them, member, whether several, path of the reference.
 CHILDREN = (
@@ -114,7 +114,7 @@ def emit(records: DataFrame, tags: tuple[str, ...] | None = None, with_payload:
             columns = {n: pa.array(v, types[n]) for n, v in zip(names, rows)} | {"session_id": batch.column(0).take(at), "sequence": batch.column(1).take(at)}
             yield pa.RecordBatch.from_arrays([columns[n] for n in order], order)
 
-    return records.select("session_id", F.col("sequence").cast("bigint"), "payload_json").mapInArrow(run, _EMITTED)
+    return spread(records.select("session_id", F.col("sequence").cast("bigint"), "payload_json")).mapInArrow(run, _EMITTED)
 
 
 def shred(records: DataFrame, tags: tuple[str, ...] | None = None, with_payload: bool = True) -> dict[str, DataFrame]:

@@ -86,6 +86,17 @@ def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None
     return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with a partition for each core at least.
+
+    Small inputs come as one file with one row group, which one task would read and then work on alone; their
+    rows are dealt out.  A scan that has as many partitions as there are cores is returned as it is, so a large
+    input is never shuffled here.  Only for plain scans: the number of partitions is that of the file splits.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
