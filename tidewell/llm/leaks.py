@@ -10,8 +10,9 @@ word of its own, and a term is a word or, for such characters, ``GRAM`` of them
 
 A leak is a span of at least ``SPAN`` words of the item (``SPAN_EAST`` characters) with at most one word in
 ``PER`` (one character in ``PER_EAST``) changed, lost or added.  A span of that length has at most ``SPAN // PER``
-changes, each of which spoils one word (``GRAM`` terms of characters), so every span keeps one of its
-``SPAN // PER + 1`` rarest terms: looking these up for every span of an item misses no leak.
+changes, each of which spoils one word (or one of several terms of characters that do not overlap), so every span
+keeps ``EXTRA + 1`` of its ``SPAN // PER + 1 + EXTRA`` rarest terms: looking these up for every span of an item and
+asking for so many of them in one place misses no leak.
 
 Defined results for odd input: null, empty and blank texts hold no passage; repeated items are one item each by
 ``item_id``; an item shorter than a span leaks only as a whole; empty tables give no rows; texts are read whole.
@@ -25,13 +26,21 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.runtime import materialise, spread
+
 SPAN, PER = 20, 7
 SPAN_EAST, PER_EAST, GRAM = 40, 12, 4
+#: Terms looked up beyond the ones that changes may spoil; so many more must then be found in one place.
+EXTRA = 2
+#: Places to verify are broadcast up to so many rows (about 50 MB), so that no text is shuffled; more are joined by document.
+BROADCAST_PLACES = 1_000_000
 #: How far the places of one passage may drift apart by words lost or added, on top of the share of changes.
 DRIFT = 8
+#: Places (document position less item position) of one passage lie in one of the half-overlapping stretches of twice this.
+STRETCH = 64
 #: Items are broadcast up to so many rows; a larger set is joined by term.
 BROADCAST_ITEMS = 20_000
 
@@ -95,7 +104,7 @@ def _postings(documents: DataFrame, wanted: set[str]) -> DataFrame:
                         term.append(t)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(pos, pa.int32()), pa.array(term, pa.string())], ["doc_id", "pos", "term"])
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.length("text") > 0).mapInArrow(run, "doc_id bigint, pos int, term string")
+    return spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.length("text") > 0)).mapInArrow(run, "doc_id bigint, pos int, term string")
 
 
 def _frequencies(documents: DataFrame, wanted: set[str]) -> dict[str, int]:
@@ -109,16 +118,17 @@ def _frequencies(documents: DataFrame, wanted: set[str]) -> dict[str, int]:
                 own.update(t for _, t in terms(words(text)) if t in keep)
         yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], ["term", "n"])
 
-    counted = documents.select("text").where(F.length("text") > 0).mapInArrow(run, "term string, n bigint")
+    counted = spread(documents.select("text").where(F.length("text") > 0)).mapInArrow(run, "term string, n bigint")
     return {r["term"]: r["n"] for r in counted.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row for each term of the items
 
 
-def rarest(of: list[tuple[int, str]], frequency: dict[str, int], n_words: int, east: bool) -> set[tuple[int, str]]:
-    """The (position, term) pairs to look up, so that every span keeps one that no allowed change spoils."""
+def rarest(of: list[tuple[int, str]], frequency: dict[str, int], n_words: int, east: bool) -> tuple[set[tuple[int, str]], int]:
+    """The (position, term) pairs to look up, and how many of them every span keeps whatever the allowed changes."""
     span = min(SPAN_EAST if east else SPAN, n_words)
     changes = span // (PER_EAST if east else PER)
     apart = GRAM if east else 1
     chosen: set[tuple[int, str]] = set()
+    kept = EXTRA + 1
     for start in range(0, n_words - span + 1):
         inside = [(p, t) for p, t in of if start <= p and p + (apart if east else 1) <= start + span]
         taken: list[int] = []
@@ -127,9 +137,10 @@ def rarest(of: list[tuple[int, str]], frequency: dict[str, int], n_words: int, e
             if all(abs(p - q) >= apart for q in taken):
                 taken.append(p)
                 chosen.add((p, t))
-                if len(taken) > changes:
+                if len(taken) > changes + EXTRA:
                     break
-    return chosen
+        kept = min(kept, len(taken) - changes)
+    return chosen, max(kept, 1)
 
 
 def may_hold(item: list[str], window: list[str], east: bool) -> bool:
@@ -239,13 +250,22 @@ def _leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     texts = {r["item_id"]: r["text"] for r in items.collect()}
     vocabulary = {t for of in item_terms.values() for _, t in of}
     frequency = _frequencies(documents, vocabulary)
-    anchors = [(item, p, t) for item, of in item_terms.items() for p, t in rarest(of, frequency, about[item][1], about[item][0])]
-    lookup = spark.createDataFrame(anchors, "item_id bigint, item_pos int, term string")
+    anchors = []
+    for item, of in item_terms.items():
+        chosen, kept = rarest(of, frequency, about[item][1], about[item][0])
+        anchors += [(item, p, t, kept) for p, t in chosen]
+    lookup = spark.createDataFrame(anchors, "item_id bigint, item_pos int, term string, kept int")
     # bounded by the checked number of items
-    hits = _postings(documents, {t for _, _, t in anchors}).join(F.broadcast(lookup), "term").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("place"))
-    near: Column = F.floor(F.col("place") / F.lit(64))
-    candidates = hits.groupBy("doc_id", "item_id", near.alias("near")).agg(F.min("place").alias("lo"), F.max("place").alias("hi"))
-    per_document = candidates.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "lo", "hi")).alias("places"))
+    hits = _postings(documents, {a[2] for a in anchors}).join(F.broadcast(lookup), "term").select("doc_id", "item_id", "item_pos", "kept", (F.col("pos") - F.col("item_pos")).alias("place"))
+    # half-overlapping stretches of places, so that the places of one passage share one
+    slot = F.floor(F.col("place") / F.lit(STRETCH))
+    hits = hits.select("*", F.explode(F.array(slot, slot + 1)).alias("slot"))
+    gathered = hits.groupBy("doc_id", "item_id", "slot", "kept").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.count_distinct("item_pos").alias("n"))
+    per_document = gathered.where("n >= kept").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "lo", "hi")).alias("places"))
+    per_document = materialise(per_document, "places")
+    few = per_document.agg(F.sum(F.size("places"))).first()[0] or 0
+    if few <= BROADCAST_PLACES:
+        per_document = F.broadcast(per_document)
     checked = spark.sparkContext.broadcast({i: (words(t), about[i][0]) for i, t in texts.items() if i in about})
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,5 +291,5 @@ def _leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
             columns = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()))], ["doc_id", "item_id", "shared_words", "changes", "whole"])
 
-    with_text = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(per_document, "doc_id")
+    with_text = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).join(per_document, "doc_id")
     return with_text.mapInArrow(verify, "doc_id bigint, item_id bigint, shared_words int, changes int, whole boolean")
