@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.runtime import spread
+
 #: Entries of the hashed table of counts.
 TABLE = 1 << 21
 #: A chain is accepted if it is so much likelier (natural logarithm), in all and per changed character.
@@ -200,7 +202,7 @@ def count_grams(documents: DataFrame, text: str = "text") -> np.ndarray:
         _fold_counts(own, hashed)
         yield pa.RecordBatch.from_arrays([pa.array(list(hashed), pa.int64()), pa.array(list(hashed.values()), pa.int64())], ["at", "n"])
 
-    added = documents.where(F.col(text).rlike(r"[^\x00-\x7f]")).select(text).mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    added = spread(documents.where(F.col(text).rlike(r"[^\x00-\x7f]")).select(text)).mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(TABLE, np.int64)
     counts[added["at"].to_numpy()] = added["n"].to_numpy()
     return counts
@@ -310,7 +312,7 @@ def restore(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """(key, restored, chains, whole) of the garbled documents."""
     spark = documents.sparkSession
     counts = spark.sparkContext.broadcast(count_grams(documents, text))
-    source = documents.where(F.col(text).rlike(r"[^\x00-\x7f]")).select(key, text)
+    source = spread(documents.where(F.col(text).rlike(r"[^\x00-\x7f]")).select(key, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(counts.value)

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
 
+from tidewell.runtime import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How this vocabulary's texts are cut into words (fixed value of the public tokenizer).
 WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -125,7 +127,7 @@ def encode(documents: DataFrame, vocabulary: str = VOCABULARY, text: str = "text
     broadcast, so executors need no access to its path."""
     spark = documents.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))
-    source = documents.select(key, text)
+    source = spread(documents.select(key, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
