@@ -16,6 +16,12 @@ def envelope(payload_json: Column) -> Column:
     return F.from_json(text, ENVELOPE)
 
 
+def parsed_once(rows: DataFrame, value: Column, name: str = "e") -> DataFrame:
+    """Adds a parsed column.  It goes through a generator, because the optimizer would repeat the parsing in every later
+    expression and filter that uses a part of it."""
+    return rows.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def messages(events: DataFrame, types: tuple[str, ...], also_others: bool = False) -> DataFrame:
     """(session_id, sequence, turn_id, at, type, user_message, final_text, run_id, role, failure_code).
 
@@ -28,8 +34,8 @@ def messages(events: DataFrame, types: tuple[str, ...], also_others: bool = Fals
     e = events.select("session_id", F.col("sequence").cast("bigint").alias("sequence"), "payload_json", possible.alias("possible"))
     if not also_others:
         e = e.where("possible")
-    e = e.select("session_id", "sequence", F.when(F.col("possible"), envelope(F.col("payload_json"))).alias("e"))
-    e = e.select("session_id", "sequence", F.when(F.col("e.type").isin(*types), F.col("e")).alias("e"))
+    e = parsed_once(e, F.when(F.col("possible"), envelope(F.col("payload_json"))))
+    e = e.withColumn("e", F.when(F.col("e.type").isin(*types), F.col("e")))
     if not also_others:
         e = e.where(F.col("e").isNotNull())
     p = "e.payload."

@@ -258,12 +258,12 @@ def length_limits(pairs: DataFrame) -> DataFrame:
 
 def defective_pairs(events: DataFrame) -> DataFrame:
     """(session_id, turn_id, defect) of every defective pair."""
-    from tidewell.runtime import materialise
+    from tidewell.runtime import materialise, spread
 
-    pairs = materialise(turn_pairs(events), "pairs")
+    pairs = materialise(turn_pairs(spread(events.select("session_id", "sequence", "payload_json"))), "pairs")
     short = shortened_versions(pairs).distinct().withColumn("shortened", F.lit(True))
     limits = length_limits(pairs).withColumn("at_limit", F.lit(True))
-    marked = pairs.join(short, "final_text", "left").withColumn("n_chars", F.length("final_text")).join(limits, "n_chars", "left")
+    marked = spread(pairs).join(short, "final_text", "left").withColumn("n_chars", F.length("final_text")).join(limits, "n_chars", "left")
     columns = ["session_id", "turn_id", "user_message", "final_text", "truncated_code", "filtered_code", "shortened", "at_limit"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
