@@ -1,9 +1,10 @@
 """Passages of evaluation items in a training corpus (problem 7).
 
-Method: a distributed positional inverted index.  Postings (term, document, position) of the corpus are kept for
-the terms of the evaluation items; each item looks up its rarest terms, the postings are moved by the term's
-place in the item, and places of one document that agree are a candidate.  Candidates are verified on the
-document's words by an alignment that counts words changed, lost or added.
+Method: a distributed positional inverted index, partitioned by document.  A first pass counts the terms of the
+evaluation items in the whole corpus.  In the second, each partition takes the postings (term, document, position) of its
+documents for the rarest terms of each item, moves them by the term's place in the item, and intersects them: places
+of one document that agree are a candidate.  Candidates are verified on the document's words by an alignment that
+counts words changed, lost or added.  A document's postings never leave its partition, so nothing is shuffled but counts.
 
 Texts are cut into words without case, punctuation, mark-up and white space; a Chinese or Japanese character is a
 word of its own, and a term is a word or, for such characters, ``GRAM`` of them in a row.
@@ -29,17 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.runtime import materialise, spread
+from tidewell.runtime import spread
 
 SPAN, PER = 20, 7
 SPAN_EAST, PER_EAST, GRAM = 40, 12, 4
 #: Terms looked up beyond the ones that changes may spoil; so many more must then be found in one place.
 EXTRA = 2
-#: Places to verify are broadcast up to so many rows (about 50 MB), so that no text is shuffled; more are joined by document.
-BROADCAST_PLACES = 1_000_000
 #: How far the places of one passage may drift apart by words lost or added, on top of the share of changes.
 DRIFT = 8
-#: Places (document position less item position) of one passage lie in one of the half-overlapping stretches of twice this.
+#: Places (document position less item position) of one passage lie within a stretch of this length.
 STRETCH = 64
 #: Items are broadcast up to so many rows; a larger set is joined by term.
 BROADCAST_ITEMS = 20_000
@@ -88,23 +87,43 @@ def _item_terms(items: DataFrame) -> DataFrame:
     return items.select(F.col("item_id").cast("bigint"), "text").dropDuplicates(["item_id"]).mapInArrow(run, "item_id bigint, pos int, term string, east boolean, n_words int")
 
 
-def _postings(documents: DataFrame, wanted: set[str]) -> DataFrame:
-    """(doc_id, pos, term) for the wanted terms only; one pass, nothing shuffled."""
-    shared = documents.sparkSession.sparkContext.broadcast(wanted)
+def _postings(of: list[tuple[int, str]], lookup: dict[str, list[tuple[int, int]]]) -> dict[int, list[tuple[int, int]]]:
+    """For each item the (place, item position) pairs of a document's terms: postings moved by the term's place in the item."""
+    found: dict[int, list[tuple[int, int]]] = {}
+    for p, t in of:
+        for item, pos in lookup.get(t, ()):
+            found.setdefault(item, []).append((p - pos, pos))
+    return found
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = shared.value
-        for batch in batches:
-            at, pos, term = [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                for p, t in terms(words(text)):
-                    if t in keep:
-                        at.append(i)
-                        pos.append(p)
-                        term.append(t)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(pos, pa.int32()), pa.array(term, pa.string())], ["doc_id", "pos", "term"])
 
-    return spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.length("text") > 0)).mapInArrow(run, "doc_id bigint, pos int, term string")
+def _places(hits: list[tuple[int, int]], kept: int) -> Iterator[tuple[int, int]]:
+    """The stretches of places that hold at least ``kept`` different terms of the item.
+
+    Overlapping stretches are joined up to three times the length; a longer run comes as several that overlap.
+    """
+    if len(hits) < kept:
+        return
+    hits = sorted(hits)
+    first, inside = 0, Counter()
+    region: tuple[int, int] | None = None
+    for place, pos in hits:
+        inside[pos] += 1
+        while hits[first][0] < place - STRETCH:
+            gone = hits[first][1]
+            inside[gone] -= 1
+            if not inside[gone]:
+                del inside[gone]
+            first += 1
+        if len(inside) >= kept:
+            start = hits[first][0]
+            if region and start <= region[1] and place - region[0] <= 3 * STRETCH:
+                region = (region[0], place)
+            else:
+                if region:
+                    yield region
+                region = (start, place)
+    if region:
+        yield region
 
 
 def _frequencies(documents: DataFrame, wanted: set[str]) -> dict[str, int]:
@@ -250,46 +269,36 @@ def _leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     texts = {r["item_id"]: r["text"] for r in items.collect()}
     vocabulary = {t for of in item_terms.values() for _, t in of}
     frequency = _frequencies(documents, vocabulary)
-    anchors = []
+    table: dict[str, list[tuple[int, int]]] = {}
+    needed: dict[int, int] = {}
     for item, of in item_terms.items():
-        chosen, kept = rarest(of, frequency, about[item][1], about[item][0])
-        anchors += [(item, p, t, kept) for p, t in chosen]
-    lookup = spark.createDataFrame(anchors, "item_id bigint, item_pos int, term string, kept int")
-    # bounded by the checked number of items
-    hits = _postings(documents, {a[2] for a in anchors}).join(F.broadcast(lookup), "term").select("doc_id", "item_id", "item_pos", "kept", (F.col("pos") - F.col("item_pos")).alias("place"))
-    # half-overlapping stretches of places, so that the places of one passage share one
-    slot = F.floor(F.col("place") / F.lit(STRETCH))
-    hits = hits.select("*", F.explode(F.array(slot, slot + 1)).alias("slot"))
-    gathered = hits.groupBy("doc_id", "item_id", "slot", "kept").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.count_distinct("item_pos").alias("n"))
-    per_document = gathered.where("n >= kept").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "lo", "hi")).alias("places"))
-    per_document = materialise(per_document, "places")
-    few = per_document.agg(F.sum(F.size("places"))).first()[0] or 0
-    if few <= BROADCAST_PLACES:
-        per_document = F.broadcast(per_document)
+        chosen, needed[item] = rarest(of, frequency, about[item][1], about[item][0])
+        for p, t in chosen:
+            table.setdefault(t, []).append((item, p))
+    index = spark.sparkContext.broadcast((table, needed))  # bounded by the checked number of items
     checked = spark.sparkContext.broadcast({i: (words(t), about[i][0]) for i, t in texts.items() if i in about})
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = checked.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (lookup, kept), known = index.value, checked.value
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text, places in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 w = words(text)
-                best: dict[int, tuple[int, int]] = {}
-                for place in places:
-                    item, east = known[place["item_id"]]
-                    if best.get(place["item_id"], (0, 0))[0] == len(item):
-                        continue
+                for i, hits in _postings(terms(w), lookup).items():
+                    item, east = known[i]
+                    best: tuple[int, int] = (0, 0)
                     slack = DRIFT + len(item) // (PER_EAST if east else PER)
-                    lo, hi = max(0, place["lo"] - slack), max(0, place["hi"] + len(item) + slack)
-                    window = w[lo:hi]
-                    if not may_hold(item, window, east):
-                        continue
-                    found = aligned(item, window, east)
-                    if found and found[0] > best.get(place["item_id"], (0, 0))[0]:
-                        best[place["item_id"]] = found
-                rows += [(doc, i, n, c, n == len(known[i][0])) for i, (n, c) in best.items()]
+                    for low, high in _places(hits, kept[i]):
+                        if best[0] == len(item):
+                            break
+                        window = w[max(0, low - slack) : max(0, high + len(item) + slack)]
+                        found = aligned(item, window, east) if may_hold(item, window, east) else None
+                        if found and found[0] > best[0]:
+                            best = found
+                    if best[0]:
+                        rows.append((doc, i, *best, best[0] == len(item)))
             columns = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()))], ["doc_id", "item_id", "shared_words", "changes", "whole"])
 
-    with_text = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).join(per_document, "doc_id")
-    return with_text.mapInArrow(verify, "doc_id bigint, item_id bigint, shared_words int, changes int, whole boolean")
+    texts_only = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.length("text") > 0)
+    return spread(texts_only).mapInArrow(run, "doc_id bigint, item_id bigint, shared_words int, changes int, whole boolean")
