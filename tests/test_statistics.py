@@ -280,3 +280,28 @@ def test_more_diagnostics(xy):
     q = 1 / (1 + np.exp(-p.x1))
     assert near(r["idi"], q[p.b == 1].mean() - q[p.b == 0].mean()) and near(r["nri_events"], np.sign(q[p.b == 1] - 0.5).mean())
     assert DI.subgroup_cox(df, "t", "b", "x1", "g")["df"] == 2 and DI.odds_ratios(m)[1]["odds_ratio"] > 1
+
+
+def test_quantile_regression_is_exact_over_all_rows(spark, xy, monkeypatch):
+    p, df = xy
+
+    def slack(y, x, b, q):
+        """How far the subgradient condition of the least check loss is missed; none of it at the solution."""
+        x = np.column_stack([np.ones(len(y)), x])
+        e = y - x @ b
+        on = np.abs(e) < 1e-9 * np.abs(y).max()
+        pull = np.abs(x[~on].T @ np.where(e[~on] > 0, q, q - 1))
+        return np.max(pull - max(q, 1 - q) * np.abs(x[on]).sum(0))
+
+    for rows in (10**6, 60):  # all rows at once, and bands of 60 of the 400
+        monkeypatch.setattr(MO, "BAND_ROWS", rows)
+        for q in (0.5, 0.8):
+            assert slack(p.y.to_numpy(), p[["x1", "x2"]].to_numpy(), MO.quantile(df, "y", ["x1", "x2"], q)["parameters"], q) <= 1e-9
+    with pytest.raises(ArithmeticError):
+        MO.quantile(df, "y", ["x1"], iterations=0)
+    from __spark_entry__ import queries
+    from tidewell.runtime import table
+
+    line = table(spark, "/root/testdata/sf0.001", "lineitem").select("l_quantity", "l_extendedprice").toPandas().astype(float)
+    got = {r["term"]: r["coefficient"] for r in queries()["model_quantile"](spark, "/root/testdata/sf0.001").collect()}
+    assert slack(line.l_extendedprice.to_numpy(), line[["l_quantity"]].to_numpy(), np.array([got["Intercept"], got["l_quantity"]]), 0.5) <= 1e-6

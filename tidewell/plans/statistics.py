@@ -404,7 +404,7 @@ _MODELS = {
     "gamma": lambda r: MO.gamma(r, "l_extendedprice", ["l_quantity"]),
     "tobit": lambda r: MO.tobit(r, "l_discount", ["l_quantity"]),
     "robust_huber": lambda r: MO.robust(r, "l_extendedprice", ["l_quantity"], iterations=15),
-    "quantile": lambda r: MO.quantile(r, "l_extendedprice", ["l_quantity"], iterations=15),
+    "quantile": lambda r: MO.quantile(r, "l_extendedprice", ["l_quantity"]),
     "firth": lambda r: MO.firth_logit(r, "returned", ["l_quantity"]),
 }
 for _n, _f in _MODELS.items():

@@ -315,20 +315,122 @@ def frontier(df: DataFrame, y: str, x: list, cost: bool = False) -> dict:
     return generic(df, y, x, ll, [("log_sigma_v", math.log(s0)), ("log_sigma_u", math.log(s0))], moments(df, [y])[y]["mean"])
 
 
-def quantile(df: DataFrame, y: str, x: list, q: float = 0.5, iterations: int = 200, tolerance: float = 1e-7) -> dict:
-    """Iterated weighting with a small floor for the residuals; one pair of passes a step."""
-    beta = solve_ls(df, y, x)["beta"]
-    scale = math.sqrt(moments(df, [y])[y]["var"])
-    for step in range(iterations):
-        e = operand(y) - fitted(x, beta)
-        w = F.when(e >= 0, F.lit(q)).otherwise(F.lit(1 - q)) / F.greatest(F.abs(e), F.lit(1e-6 * scale))
-        new = solve_ls(df.select("*", w.alias("__w")), y, x, "__w")["beta"]
-        done = np.max(np.abs(new - beta)) < tolerance * (1 + np.max(np.abs(beta)))
-        beta = new
-        if done:
+#: Rows near the fit that quantile regression takes to the driver at once.
+BAND_ROWS = 200_000
+
+
+def _least_check_loss(x: np.ndarray, y: np.ndarray, q: float) -> tuple[np.ndarray, float]:
+    """Coefficients of the least check loss of rows in memory, and the gap to the dual bound relative to the loss.
+
+    Primal-dual interior point steps with predictor and corrector; then the corner at the rows whose dual values are not
+    at a bound, if its loss is not larger."""
+
+    def loss(b: np.ndarray) -> float:
+        e = y - x @ b
+        return float(np.sum(np.where(e >= 0, q * e, (q - 1) * e)))
+
+    def step(v: np.ndarray, dv: np.ndarray) -> float:
+        down = dv < 0
+        return float(np.min(-v[down] / dv[down])) if down.any() else 1e20
+
+    n, k = x.shape
+    a, s = np.full(n, 1 - q), np.full(n, q)
+    right = a @ x
+    beta = np.linalg.lstsq(x, y, rcond=None)[0]
+    r = y - x @ beta
+    r = np.where(r == 0, 1e-3, r)
+    w, z = np.maximum(r, 0), np.maximum(-r, 0)
+    w, z = w + 1e-3 * np.abs(r), z + 1e-3 * np.abs(r)
+    for _ in range(200):
+        if loss(beta) - (a @ y - (1 - q) * y.sum()) <= 1e-13 * (1 + np.abs(y).sum()):
+            break
+        d = 1 / (z / a + w / s)
+        normal = (x.T * d) @ x
+        rd = y - x @ beta + z - w
+        rp = right - a @ x
+        if not np.all(np.isfinite(normal)):
             break
-    e = operand(y) - fitted(x, beta)
-    loss = df.agg(F.sum(F.when(e >= 0, e * q).otherwise(-e * (1 - q)))).first()[0]
+
+        def direction(mu: float, az: np.ndarray | float, sw: np.ndarray | float) -> tuple[np.ndarray, ...]:
+            h = rd - z + w + (mu - az) / a - (mu - sw) / s
+            db = np.linalg.lstsq(normal, x.T @ (d * h) - rp, rcond=None)[0]
+            da = d * (h - x @ db)
+            return db, da, (mu - az - z * da) / a - z, (mu - sw + w * da) / s - w
+
+        db, da, dz, dw = direction(0.0, 0.0, 0.0)
+        fp, fd = min(1.0, step(a, da), step(s, -da)), min(1.0, step(z, dz), step(w, dw))
+        mu = a @ z + s @ w
+        mu = mu * (((a + fp * da) @ (z + fd * dz) + (s - fp * da) @ (w + fd * dw)) / mu) ** 3 / (2 * n)
+        db, da, dz, dw = direction(mu, da * dz, -da * dw)
+        fp, fd = min(1.0, 0.9995 * step(a, da), 0.9995 * step(s, -da)), min(1.0, 0.9995 * step(z, dz), 0.9995 * step(w, dw))
+        a, s = a + fp * da, s - fp * da
+        beta, z, w = beta + fd * db, z + fd * dz, w + fd * dw
+    corner: list[int] = []
+    for i in np.argsort(-np.minimum(a, s))[: 50 * k]:
+        if np.linalg.matrix_rank(x[[*corner, i]]) > len(corner):
+            corner.append(int(i))
+        if len(corner) == k:
+            at = np.linalg.solve(x[corner], y[corner])
+            beta = at if loss(at) <= loss(beta) else beta
+            break
+    least = loss(beta)
+    return beta, (least - (a @ y - (1 - q) * y.sum())) / (least + 1e-300) if least > 0 else 0.0
+
+
+def quantile(df: DataFrame, y: str, x: list, q: float = 0.5, iterations: int = 200, tolerance: float = 1e-7) -> dict:
+    """The coefficients of the least check loss, exactly, over all rows.
+
+    The rows near a first fit (of a sample, if there are many) are solved on the driver, with the sums of the rows above
+    and of those below for one row each.  If these rows keep their sides at the solution, it is that of all rows: a sum's
+    loss is never more than the losses of its rows.  Else the rows that changed sides are added to the near ones, and so
+    on.  Three passes a step; it is an error if ``iterations`` steps or the solver's gap to the dual bound
+    (relative, ``tolerance``) do not settle it.
+    """
+    cols = [operand(c) for c in x]
+    names = [f"x{i}" for i in range(len(cols) + 1)]
+    data = df.select(F.lit(1.0).alias("x0"), *[c.cast("double").alias(n) for c, n in zip(cols, names[1:])], operand(y).cast("double").alias("y")).cache()
+    try:
+        m = moments(data, [*names[1:], "y"])
+        n = data.count()
+        shift = np.array([0.0, *[m[c]["mean"] for c in names[1:]], m["y"]["mean"]])
+        scale = np.array([1.0, *[math.sqrt(m[c]["var"]) or 1.0 for c in [*names[1:], "y"]]])
+
+        def solve(rows: np.ndarray) -> tuple[np.ndarray, float]:
+            """Rows are sums of k original rows with k at their first place; coefficients in original units."""
+            z = (rows - rows[:, :1] * shift) / scale
+            b, gap = _least_check_loss(z[:, :-1], z[:, -1], q)
+            slope = b[1:] / scale[1:-1] * scale[-1]
+            return np.array([b[0] * scale[-1] + shift[-1] - slope @ shift[1:-1], *slope]), gap
+
+        def near(rows: DataFrame) -> np.ndarray:
+            """Equal rows as one, times their number: the check loss grows in proportion."""
+            got = rows.groupBy(*names, "y").agg(F.count(F.lit(1)).alias("n")).toPandas()
+            return got[[*names, "y"]].to_numpy(float) * got[["n"]].to_numpy(float)
+
+        share = min(1.0, BAND_ROWS / n)
+        beta, gap = solve(near(data.sample(share, 1) if share < 1 else data))
+        if share < 1:
+            e = F.col("y") - fitted(names[1:], beta)
+            width = data.agg(F.percentile_approx(F.abs(e), share, 10_000)).first()[0]
+            inside = F.abs(e) <= width
+            for step in range(iterations):
+                sides = data.where(~inside).groupBy((e > 0).alias("above")).agg(*[F.sum(c).alias(c) for c in [*names, "y"]]).toPandas()
+                beta, gap = solve(np.vstack([near(data.where(inside)), sides[[*names, "y"]].to_numpy(float)]))
+                now = F.col("y") - fitted(names[1:], beta)
+                crossed = (e > 0) & (now < 0) | (e < 0) & (now > 0)
+                if not data.where(~inside & crossed).count():
+                    break
+                inside = inside | crossed
+            else:
+                raise ArithmeticError(f"quantile regression did not settle in {iterations} steps")
+        else:
+            step = 0
+        if not gap <= tolerance:
+            raise ArithmeticError(f"quantile regression stopped at a relative gap of {gap:g}")
+        e = F.col("y") - fitted(names[1:], beta)
+        loss = data.agg(F.sum(F.when(e >= 0, e * q).otherwise(-e * (1 - q)))).first()[0]
+    finally:
+        data.unpersist()
     return {"terms": ["Intercept", *map(str, x)], "parameters": beta, "check_loss": loss, "iterations": step + 1}
 
 
