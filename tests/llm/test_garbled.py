@@ -75,3 +75,26 @@ def test_encodings_round_trip():
 def test_empty_table(spark):
     assert G.restore(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     assert G.Model(np.zeros(G.TABLE, np.int64)).score("é") < 0
+
+
+def test_garbled_texts_do_not_train_the_model(spark):
+    right = "Nobody{}’s naïve estimate was {}, ½ of what the café’s staff say."
+    clean = [t for _, t in corpus()] + [right.format(i, i) for i in range(100)]
+    bad = [garble(right.format(i, i), "cp1252", "cp437") for i in range(100, 115)]
+    df = spark.createDataFrame(list(enumerate(clean + bad)), "doc_id bigint, text string")
+    assert not any(G.has_signs(t) for t in bad)
+    got = {r["doc_id"]: r["restored"] for r in G.restore(df).collect()}
+    assert [got.get(len(clean) + i) for i in range(15)] == [right.format(100 + i, 100 + i) for i in range(15)] and len(got) == 15
+
+
+def test_repeated_texts_count_once(spark):
+    once = spark.createDataFrame([(i, f"café {i}") for i in range(20)], "doc_id bigint, text string")
+    assert (G.count_grams(once.union(once)) == G.count_grams(once)).all()
+
+
+def test_a_sound_sentence_among_garbled_ones_is_kept(spark):
+    clean = corpus()
+    model = G.Model(G.count_grams(spark.createDataFrame(clean, "doc_id bigint, text string")))
+    sound = SENTENCES["ru"][0].format(5)
+    bad = " ".join(SENTENCES["ru"][i % 2].format(i) for i in range(4))
+    assert G.repair(garble(bad, "koi8-r", "cp1251") + " " + sound, model)[1] == bad + " " + sound

@@ -1,7 +1,7 @@
 """Finding and restoring text that was decoded with the wrong encoding (problem 8).
 
-Method: smoothed character n-gram models are trained on the records that show no structural sign of wrong
-decoding; every candidate chain (encode with the encoding that was wrongly used, decode with the right one,
+Method: smoothed character n-gram models are trained in two rounds, on the distinct records that show no structural
+sign of wrong decoding, then on what of these no chain makes much likelier in the first model; every candidate chain (encode with the encoding that was wrongly used, decode with the right one,
 once or twice) is scored on every suspicious piece of a text, and the likeliest is accepted if it beats the text
 as it is by a validated margin.
 
@@ -22,6 +22,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +52,7 @@ CHAINS = (
 )
 
 _C1 = re.compile("[\x80-\x84\x86-\x9f]")
+_OTHER = re.compile("[^\x00-\x7f]")
 _PIECES = re.compile(r"[^\n\r]+")
 _SENTENCE = re.compile(r"\S(?:.*?[.!?](?=[ \t])|.*$)")
 _BOXES = re.compile("[─-╿]")
@@ -125,7 +127,7 @@ def grams(text: str) -> Iterator[tuple[str, ...]]:
     if text.isascii():
         return
     n = len(text)
-    for m in re.finditer("[^\x00-\x7f]", text):
+    for m in _OTHER.finditer(text):
         i = m.start()
         c = text[i].lower()
         left, right = _fold(text[i - 1]) if i else " ", _fold(text[i + 1]) if i + 1 < n else " "
@@ -139,8 +141,10 @@ class Model:
     in garbled text must not make that text likely.  Between usual neighbours, a character that stands there in a
     tenth of all cases is what is expected, however rare the place."""
 
-    def __init__(self, counts: np.ndarray) -> None:
+    def __init__(self, counts: np.ndarray, expects: bool = True) -> None:
+        """``expects``: whether what is usual at its place is expected there; garbled text must not train itself so."""
         self.counts = counts
+        self.expects = expects
         self.total = 1.0 + float(counts[_hash("n")])
         self.memo: dict[str, float] = {}
 
@@ -151,7 +155,7 @@ class Model:
                 self.memo.clear()
             u, bl, br, t, c3 = (int(self.counts[_hash(x)]) for x in g)
             known = log((0.8 * t + 0.03 * min(bl, br) + 0.01 * (bl + br) + 0.001 * u) / self.total + 1e-8)
-            if t > 0.1 * (c3 + 3) and all(c < "\x80" or self.counts[_hash("u" + c)] > 0.002 * self.total for c in g[4][1:]):
+            if self.expects and t > 0.1 * (c3 + 3) and all(c < "\x80" or self.counts[_hash("u" + c)] > 0.002 * self.total for c in g[4][1:]):
                 known = max(known, EXPECTED)
             self.memo[g[3]] = known
         return known
@@ -183,26 +187,41 @@ def has_signs(text: str) -> bool:
 
 
 def count_grams(documents: DataFrame, text: str = "text") -> np.ndarray:
-    """The model's counts over all records without signs, ``TABLE`` entries.
+    """The model's counts over the clean records, ``TABLE`` entries; equal texts count once.
 
-    Each task adds up its own table and sends what is not zero, at most TABLE pairs, which are added by key.
+    A first model counts all records without signs.  For the second, which is returned, the lines and sentences that a
+    chain makes likelier by twice the margin in the first, in which nothing is expected, are left out.
     """
+    spark = documents.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    source = documents.where(F.col(text).rlike(r"[^\x00-\x7f]")).select(text).repartition(tasks, text).distinct()
+    first = spark.sparkContext.broadcast(_count(source, None))
+    counts = _count(source, first)
+    first.unpersist()
+    return counts
+
+
+def _count(source: DataFrame, first: Broadcast | None) -> np.ndarray:
+    """Each task adds up its own table and sends what is not zero, at most TABLE pairs, which are added by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Counter = Counter()
         hashed: Counter = Counter()
+        model = first and Model(first.value, expects=False)
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 if t and not has_signs(t):
-                    for g in grams(t):
-                        own.update(g)
-                        own["n"] += 1
+                    left_out = {i for a, b in doubtful(t, model) for i in range(a, b)} if model else ()
+                    for m, g in zip(_OTHER.finditer(t), grams(t)):
+                        if m.start() not in left_out:
+                            own.update(g)
+                            own["n"] += 1
                 if len(own) > 500_000:
                     _fold_counts(own, hashed)
         _fold_counts(own, hashed)
         yield pa.RecordBatch.from_arrays([pa.array(list(hashed), pa.int64()), pa.array(list(hashed.values()), pa.int64())], ["at", "n"])
 
-    added = spread(documents.where(F.col(text).rlike(r"[^\x00-\x7f]")).select(text)).mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    added = source.mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(TABLE, np.int64)
     counts[added["at"].to_numpy()] = added["n"].to_numpy()
     return counts
@@ -245,8 +264,8 @@ def _is_mixture(text: str) -> bool:
     return bool(_MIXED.search(text)) or any("Ѐ" <= c <= "ӿ" for c in text) and not _CYRILLIC.search(text)
 
 
-def _best(left: str, piece: str, right: str, model: Model) -> tuple[str, str, int] | None:
-    """The accepted candidate of a piece that stands between two characters."""
+def _best(left: str, piece: str, right: str, model: Model, times: float = 1.0) -> tuple[str, str, int] | None:
+    """The accepted candidate of a piece that stands between two characters; it has to win by ``times`` the margin."""
     own = model.score(left + piece + right)
     best, most = None, own
     for text, chain, lost in _candidates(piece):
@@ -260,11 +279,28 @@ def _best(left: str, piece: str, right: str, model: Model) -> tuple[str, str, in
         if s > most:
             best, most = (text, chain, lost), s
     changed = sum(1 for c in piece if c > "\x7f" and not c.isspace())
-    if best and changed and most - own > max(MARGIN, MARGIN_EACH * changed):
+    if best and changed and most - own > times * max(MARGIN, MARGIN_EACH * changed):
         return best
     return None
 
 
+def _spoils(chain: str, piece: str, model: Model) -> bool:
+    """Whether the chain, accepted for a line, makes one of its sentences less likely: a sound one among garbled ones."""
+    for m in _SENTENCE.finditer(piece):
+        sentence = done = m.group()
+        names = chain.split(">")
+        for wrong, right in zip(names[::2], names[1::2]):
+            data = encode_as(done, wrong)
+            got = decode_as(data, right) if data is not None else None
+            if got is None:
+                break
+            done = got[0]
+        else:
+            if model.score(done) < model.score(sentence) - MARGIN:
+                return True
+    return False
+
+
 def repair(text: str | None, model: Model) -> tuple[bool, str | None, str, bool]:
     """(garbled, restored text, chains used, whether it is wholly restored) of a text.
 
@@ -286,7 +322,7 @@ def repair(text: str | None, model: Model) -> tuple[bool, str | None, str, bool]
         if model.worst(left + piece + right) >= USUAL:
             return piece
         found = _best(left, piece, right, model)
-        if found:
+        if found and (level > 0 or not _spoils(found[1], piece, model)):
             chains[found[1]] += 1
             lossy |= found[2] > 0
             done = found[0]
@@ -308,6 +344,30 @@ def repair(text: str | None, model: Model) -> tuple[bool, str | None, str, bool]
     return garbled, restored, ",".join(sorted(chains)), not left and not lossy
 
 
+def doubtful(text: str, model: Model) -> list[tuple[int, int]]:
+    """The lines, sentences, script runs and words of the text that a chain makes likelier by twice the margin.
+
+    Lines and sentences are all scored, as garbled text that is usual here is not suspicious; their parts if suspicious."""
+    out: list[tuple[int, int]] = []
+
+    def look(at: int, end: int, level: int) -> None:
+        piece = text[at:end]
+        if piece.isascii():
+            return
+        left, right = text[at - 1] if at else " ", text[end] if end < len(text) else " "
+        if level > 1 and model.worst(left + piece + right) >= USUAL:
+            return
+        if _best(left, piece, right, model, 2.0):
+            out.append((at, end))
+        elif level < len(_CUTS):
+            for m in _CUTS[level].finditer(piece):
+                look(at + m.start(), at + m.end(), level + 1)
+
+    for m in _PIECES.finditer(text):
+        look(*m.span(), 0)
+    return out
+
+
 def restore(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, restored, chains, whole) of the garbled documents."""
     spark = documents.sparkSession
