@@ -3,7 +3,7 @@
 Method: smoothed character n-gram models are trained in two rounds, on the distinct records that show no structural
 sign of wrong decoding, then on what of these no chain makes much likelier in the first model; every candidate chain (encode with the encoding that was wrongly used, decode with the right one,
 once or twice) is scored on every suspicious piece of a text, and the likeliest is accepted if it beats the text
-as it is by a validated margin.
+as it is by a fixed margin, which is not validated on held-out records.
 
 The model counts unigrams, bigrams and trigrams around every non-ASCII character, hashed into a table of a fixed
 size (``TABLE`` entries), so what is broadcast does not grow with the corpus.
@@ -30,7 +30,8 @@ from tidewell.runtime import spread
 
 #: Entries of the hashed table of counts.
 TABLE = 1 << 21
-#: A chain is accepted if it is so much likelier (natural logarithm), in all and per changed character.
+#: A chain is accepted if it is so much likelier (natural logarithm), in all and per changed character.  Like ``USUAL``
+#: and ``RARE_COST``, fixed and not derived from data.
 MARGIN, MARGIN_EACH = 4.0, 0.8
 #: A piece is suspicious if the log-probability of one of its characters is below this.
 USUAL = -9.0
