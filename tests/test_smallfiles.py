@@ -61,3 +61,9 @@ def test_physical_files_are_compacted_without_loss(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "dst" / "files")).agg(F.sum("id")).first()[0] == 499500
     with pytest.raises(Exception):  # noqa: B017
         S.compact_folder(spark, src, str(tmp_path / "dst"))
+
+
+def test_files_without_an_ordinal_are_packed_first(spark):
+    rows = [("g", 0, "d/g/a", 1, 10, None), ("g", None, "d/g/b", 1, 20, None), ("g", 1, "d/g/c", 1, 30, None), ("g", None, "d/g/d", 1, 40, None)]
+    got = S.split_packing(spark.createDataFrame(rows, SCHEMA), target_bytes=20, open_cost=0).collect()
+    assert sorted((r["place"], r["target_file"]) for r in got) == [("d/g/a", 3), ("d/g/b", 0), ("d/g/c", 3), ("d/g/d", 1)]

@@ -73,7 +73,7 @@ def split_packing(catalogue: DataFrame, small_bytes: int = SMALL_BYTES, target_b
     several = several.select(F.coalesce("generation_id", F.lit("\0")).alias("__key"))
     files = salted_join(small, several, ["__key"], [F.col("place")])
     cost = F.col("size_bytes") + F.lit(open_cost)
-    summed = blocked_prefix_sum(files, ["__key"], "ordinal", cost, BLOCK_ROWS, "before")
+    summed = blocked_prefix_sum(files, ["__key"], "ordinal", cost, BLOCK_ROWS, "before", ("place",))
     return summed.select("generation_id", "ordinal", "place", "row_count", "size_bytes", F.floor(F.col("before") / F.lit(target_bytes)).alias("target_file"))
 
 
