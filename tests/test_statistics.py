@@ -305,3 +305,12 @@ def test_quantile_regression_is_exact_over_all_rows(spark, xy, monkeypatch):
     line = table(spark, "/root/testdata/sf0.001", "lineitem").select("l_quantity", "l_extendedprice").toPandas().astype(float)
     got = {r["term"]: r["coefficient"] for r in queries()["model_quantile"](spark, "/root/testdata/sf0.001").collect()}
     assert slack(line.l_extendedprice.to_numpy(), line[["l_quantity"]].to_numpy(), np.array([got["Intercept"], got["l_quantity"]]), 0.5) <= 1e-6
+
+
+def test_threshold_query_tries_the_default_number_of_splits(spark, monkeypatch):
+    from __spark_entry__ import queries
+
+    asked = {}
+    monkeypatch.setattr(L, "threshold", lambda *args, **more: asked.update(more) or {"threshold": 0.0, "rss": 0.0})
+    queries()["regression_threshold"](spark, "/root/testdata/sf0.001")
+    assert not asked

@@ -393,7 +393,7 @@ def regression_spline(spark: SparkSession, d: str) -> list:
 
 @query(None, "threshold", "rss")
 def regression_threshold(spark: SparkSession, d: str) -> dict:
-    return L.threshold(_line(spark, d), "l_extendedprice", ["l_quantity"], "l_discount", candidates=10)
+    return L.threshold(_line(spark, d), "l_extendedprice", ["l_quantity"], "l_discount")
 
 
 _MODELS = {
