@@ -9,6 +9,15 @@ from pyspark.sql import functions as F
 ENVELOPE = "turnId string, occurredAt bigint, type string, payload struct<userMessage:string,finalText:string,runId:string,role:string,failureCode:string>"
 
 
+def may_be(column: str, types: tuple[str, ...]) -> Column:
+    """Whether a JSON text can hold one of the types: it has the name, or escapes that may spell it."""
+    text = F.col(column)
+    possible = text.contains("\\u00")
+    for t in types:
+        possible = possible | text.contains(t)
+    return possible
+
+
 def envelope(payload_json: Column) -> Column:
     """The envelope as a struct; JSON wrapped in a JSON string is unwrapped; null if there is no object."""
     wrapped = F.ltrim(payload_json).startswith('"')
@@ -28,10 +37,7 @@ def messages(events: DataFrame, types: tuple[str, ...], also_others: bool = Fals
     Only events of ``types`` have members parsed; with ``also_others`` the other rows come with null members.
     Texts that cannot hold one of the types are not parsed at all.
     """
-    possible = F.lit(False)
-    for t in types:
-        possible = possible | F.col("payload_json").contains(t)
-    e = events.select("session_id", F.col("sequence").cast("bigint").alias("sequence"), "payload_json", possible.alias("possible"))
+    e = events.select("session_id", F.col("sequence").cast("bigint").alias("sequence"), "payload_json", may_be("payload_json", types).alias("possible"))
     if not also_others:
         e = e.where("possible")
     e = parsed_once(e, F.when(F.col("possible"), envelope(F.col("payload_json"))))

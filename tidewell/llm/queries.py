@@ -35,12 +35,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sessions to drop."""
-    return conversations.sessions_to_drop(conversations.buffers(spark, f"{sf_dir}/assistant_event.parquet"))
+    return conversations.rebuild(spark, f"{sf_dir}/assistant_event.parquet").dropped()
 
 
 def p5_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The messages of all sessions that can be rebuilt."""
-    return conversations.conversations(table(spark, sf_dir, "assistant_event"), p5_found(spark, sf_dir))
+    return conversations.rebuild(spark, f"{sf_dir}/assistant_event.parquet").conversations()
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
