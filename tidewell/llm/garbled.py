@@ -1,12 +1,17 @@
 """Finding and restoring text that was decoded with the wrong encoding (problem 8).
 
-Method: smoothed character n-gram models are trained in two rounds, on the distinct records that show no structural
-sign of wrong decoding, then on what of these no chain makes much likelier in the first model; every candidate chain (encode with the encoding that was wrongly used, decode with the right one,
-once or twice) is scored on every suspicious piece of a text, and the likeliest is accepted if it beats the text
-as it is by a fixed margin, which is not validated on held-out records.
+Method: smoothed character n-gram models are trained in two rounds: on the distinct words of all records that show no
+structural sign of wrong decoding, then on those of them that no chain makes much likelier in the first model or turns into a more frequent word.  Every
+candidate chain (encode with the encoding that was wrongly used, decode with the right one, once or twice) is scored on
+every suspicious piece of a text, and the likeliest is accepted if it beats the text as it is by the margin.
 
-The model counts unigrams, bigrams and trigrams around every non-ASCII character, hashed into a table of a fixed
-size (``TABLE`` entries), so what is broadcast does not grow with the corpus.
+The margin is validated: a second model is trained without a fiftieth of the distinct words; on the sound ones of these every chain's gain
+is a false one, and the same words garbled by each chain give the true gains.  The smallest margin of ``MARGINS`` that
+accepts no more than ``FALSE_RATE`` of the held-out words is used (``validate``).
+
+The model counts unigrams, bigrams and trigrams around every non-ASCII character, hashed into a table of a fixed size
+(``TABLE`` entries), so what is broadcast does not grow with the corpus.  Collisions add 1 / ``TABLE`` to a probability
+on average: they lift the least probable places from a logarithm of -18.4 to -15.2, far below ``USUAL``.
 
 Defined results for odd input: null, empty and ASCII texts are clean; a text with U+FFFD, or with a C1 control
 other than U+0085, is garbled; what no chain restores is kept as it is; line ends and white space are never
@@ -18,7 +23,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -26,23 +30,25 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.runtime import spread
+from tidewell.runtime import materialise, spread
 
 #: Entries of the hashed table of counts.
-TABLE = 1 << 21
-#: A chain is accepted if it is so much likelier (natural logarithm), in all and per changed character.  Like ``USUAL``
-#: and ``RARE_COST``, fixed and not derived from data.
-MARGIN, MARGIN_EACH = 4.0, 0.8
+TABLE = 1 << 22
+#: Margins that are validated: how much likelier (natural logarithm) a chain has to make a piece, in all and for each
+#: changed character a fifth of it; the share of sound held-out words that may be changed; one word in so many is held out.
+MARGINS, FALSE_RATE, HELD_OUT = (3.0, 4.0, 5.0, 6.0, 8.0, 10.0), 0.001, 50
 #: A piece is suspicious if the log-probability of one of its characters is below this.
 USUAL = -9.0
-#: The log-probability of a character that is expected at its place.
-EXPECTED = -4.5
+#: The log-probability of a character that is expected at its place, and the share of all that it must have for it.
+EXPECTED, COMMON = -4.5, 2e-4
 
-#: Encodings few texts are written in, and what a chain that ends in one has to be likelier by.
-RARE, RARE_COST = ("mac_roman", "cp437", "cp850"), 8.0
+#: What a chain that ends in an unlikely encoding has to be likelier by, or one of byte pairs.
+UNLIKELY_COST, BYTE_PAIR_COST = 8.0, 12.0
 #: Encodings texts are wrongly read in, and the ones they were written in.
 SINGLE = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1250", "cp1251", "koi8-r", "cp866", "iso8859-15", "iso8859-2", "cp1254", "cp1253")
 DOUBLE = ("gbk", "big5", "cp932", "euc_kr", "euc_jp")
+#: Chains that end in one of these need more: few texts are written in them, or two bytes are a character by chance.
+UNLIKELY = {"mac_roman": UNLIKELY_COST, "cp437": UNLIKELY_COST, "cp850": UNLIKELY_COST} | dict.fromkeys(DOUBLE, BYTE_PAIR_COST)
 CHAINS = (
     *[(e, "utf-8") for e in (*SINGLE, *DOUBLE)],
     *[(e, "cp1252") for e in ("cp437", "cp850", "mac_roman", "cp1250", "cp1251", "cp866", "koi8-r", "iso8859-2")],
@@ -54,6 +60,7 @@ CHAINS = (
 
 _C1 = re.compile("[\x80-\x84\x86-\x9f]")
 _OTHER = re.compile("[^\x00-\x7f]")
+_TWO = re.compile("[^\x00-\x7f]{2}")
 _PIECES = re.compile(r"[^\n\r]+")
 _SENTENCE = re.compile(r"\S(?:.*?[.!?](?=[ \t])|.*$)")
 _BOXES = re.compile("[─-╿]")
@@ -100,72 +107,127 @@ def encode_as(text: str, encoding: str) -> bytes | None:
         return None
 
 
+_ASCII_BYTES = bytes(range(128))
+
+
 def decode_as(data: bytes, encoding: str) -> tuple[str, int] | None:
-    """The text and the number of bytes lost; None unless at least nine tenths of the high bytes decode."""
+    """The text and the number of bytes lost; None unless, of UTF-8, three quarters of the high bytes decode."""
     try:
         return data.decode(encoding), 0
     except UnicodeDecodeError:
+        if encoding != "utf-8":
+            return None
         text = data.decode(encoding, "ignore")
-        high, kept = sum(b > 127 for b in data), sum(b > 127 for b in text.encode(encoding, "ignore"))
-        return (text, high - kept) if encoding == "utf-8" and kept >= 0.75 * high and high >= 12 else None
+        high, kept = len(data.translate(None, _ASCII_BYTES)), len(text.encode(encoding, "ignore").translate(None, _ASCII_BYTES))
+        return (text, high - kept) if 0 < kept >= 0.75 * high else None
+
+
+#: Where texts are cut into words; what stands before or after such a character counts as a word's edge.
+_CUT_AFTER = "。！？；，、："
+_WORDS = rf"[ \t\r\n]+|(?<=[{_CUT_AFTER}])"
+_MASK = (1 << 64) - 1
+_FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 
 
 def _fold(c: str) -> str:
-    return " " if c.isspace() else "0" if "0" <= c <= "9" else c.lower()
+    """A neighbour as the model sees it."""
+    return " " if c.isspace() or c in _CUT_AFTER else "0" if "0" <= c <= "9" else c.lower()[0]
 
 
-def _hash(s: str) -> int:
-    h = 2166136261
-    for c in s:
-        h = (h ^ ord(c)) * 16777619 & 0xFFFFFFFF
-        h ^= h >> 15
-    return h & (TABLE - 1)
+def _index(kind: int, a: int, b: int, c: int) -> int:
+    """The table's entry for a gram of up to three code points."""
+    x = (a * _FACTORS[0] + b * _FACTORS[1] + c * _FACTORS[2] + kind * _FACTORS[3]) & _MASK
+    x = ((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9) & _MASK
+    return (x ^ (x >> 32)) & (TABLE - 1)
 
 
-def grams(text: str) -> Iterator[tuple[str, ...]]:
-    """For each non-ASCII character its counted events: itself, it after its left neighbour, it before its right one, it
-    between both, and the two neighbours.  Letters are folded to small ones; the first letter keeps the kinds apart."""
-    if text.isascii():
-        return
-    n = len(text)
-    for m in _OTHER.finditer(text):
-        i = m.start()
-        c = text[i].lower()
-        left, right = _fold(text[i - 1]) if i else " ", _fold(text[i + 1]) if i + 1 < n else " "
-        yield "u" + c, "l" + left + c, "r" + c + right, "t" + left + c + right, "c" + left + right
+def _indexes(kind: int, a: np.ndarray | int, b: np.ndarray | int, c: np.ndarray | int) -> np.ndarray:
+    """``_index`` of many grams (uint64 arrays)."""
+    u = np.uint64
+    with np.errstate(over="ignore"):
+        x = np.asarray(a, u) * u(_FACTORS[0]) + np.asarray(b, u) * u(_FACTORS[1]) + np.asarray(c, u) * u(_FACTORS[2]) + u(kind * _FACTORS[3] & _MASK)
+        x = (x ^ (x >> u(29))) * u(0xBF58476D1CE4E5B9)
+    return ((x ^ (x >> u(32))) & u(TABLE - 1)).astype(np.int64)
+
+
+_folded: dict[str, np.ndarray] = {}
+
+
+def _tables_of_folds() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point its form as a neighbour and as the character itself."""
+    if not _folded:
+        own = np.arange(0x110000, dtype=np.uint64)
+        beside = own.copy()
+        for i in range(0x10000):
+            c = chr(i)
+            beside[i], own[i] = ord(_fold(c)), ord(c.lower()[0])
+        _folded["beside"], _folded["own"] = beside, own
+    return _folded["beside"], _folded["own"]
+
+
+def grams(text: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The positions of the non-ASCII characters and the table's entries for each: itself, it after its left neighbour, it
+    before its right one, it between both, and the two neighbours.  Letters are folded to small ones."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.flatnonzero(points > 127)
+    beside, own = _tables_of_folds()
+    padded = np.concatenate(([32], points, [32]))
+    left, right, c = beside[padded[at]], beside[padded[at + 2]], own[points[at]]
+    return at, [_indexes(0, c, 0, 0), _indexes(1, left, c, 0), _indexes(2, c, right, 0), _indexes(3, left, c, right), _indexes(4, left, right, 0)]
+
+
+def _inside_word(text: str, at: np.ndarray) -> np.ndarray:
+    """Whether the characters are signs or of an eastern script and stand between two Latin letters."""
+    points = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = ((points | 32) >= 97) & ((points | 32) <= 122)
+    return letter[at] & letter[at + 2] & (points[at + 1] >= 0x2100)
 
 
 class Model:
     """The probability of a non-ASCII character with its neighbours, interpolated from hashed counts.
 
     It is the share among all such places, not among those with the same neighbours: neighbours that only occur
-    in garbled text must not make that text likely.  Between usual neighbours, a character that stands there in a
+    in garbled text must not make that text likely.  Between usual neighbours, a common character that stands there in a
     tenth of all cases is what is expected, however rare the place."""
 
-    def __init__(self, counts: np.ndarray, expects: bool = True) -> None:
+    def __init__(self, counts: np.ndarray, total: float, expects: bool = True) -> None:
         """``expects``: whether what is usual at its place is expected there; garbled text must not train itself so."""
         self.counts = counts
         self.expects = expects
-        self.total = 1.0 + float(counts[_hash("n")])
+        self.total = 1.0 + total
         self.memo: dict[str, float] = {}
-
-    def char(self, g: tuple[str, ...]) -> float:
-        known = self.memo.get(g[3])
+        self.done: dict[tuple, tuple] = {}
+
+    def places(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The positions of the non-ASCII characters and the log-probability of each."""
+        at, g = grams(text)
+        if not len(at):
+            return at, np.zeros(0)
+        u, bl, br, t, c3 = (self.counts[x].astype(np.float64) for x in g)
+        value = np.log((0.8 * t + 0.03 * np.minimum(bl, br) + 0.01 * (bl + br) + 0.001 * u) / self.total + 1e-8)
+        if self.expects:
+            usual = (t > 0.1 * (c3 + 3)) & (u > COMMON * self.total) & ~_inside_word(text, at)
+            value = np.where(usual, np.maximum(value, EXPECTED), value)
+        return at, value
+
+    def char(self, near: str) -> float:
+        """The log-probability of the middle one of three characters."""
+        known = self.memo.get(near)
         if known is None:
             if len(self.memo) > 300_000:
                 self.memo.clear()
-            u, bl, br, t, c3 = (int(self.counts[_hash(x)]) for x in g)
-            known = log((0.8 * t + 0.03 * min(bl, br) + 0.01 * (bl + br) + 0.001 * u) / self.total + 1e-8)
-            if self.expects and t > 0.1 * (c3 + 3) and all(c < "\x80" or self.counts[_hash("u" + c)] > 0.002 * self.total for c in g[4][1:]):
-                known = max(known, EXPECTED)
-            self.memo[g[3]] = known
+            known = self.memo[near] = float(self.places(near)[1][int(near[0] > "\x7f")])
         return known
 
+    def _each(self, text: str) -> list[float]:
+        padded = f" {text} "
+        return [self.char(padded[m.start() - 1 : m.start() + 2]) for m in _OTHER.finditer(padded)]
+
     def score(self, text: str) -> float:
-        return sum(self.char(g) for g in grams(text))
+        return sum(self._each(text)) if len(text) < 48 else float(self.places(text)[1].sum())
 
     def worst(self, text: str) -> float:
-        return min((self.char(g) for g in grams(text)), default=0.0)
+        return min(self._each(text), default=0.0) if len(text) < 48 else float(self.places(text)[1].min(initial=0.0))
 
 
 def has_signs(text: str) -> bool:
@@ -176,6 +238,8 @@ def has_signs(text: str) -> bool:
         return True
     for m in _TOKEN.finditer(text):
         token = m.group()
+        if not _TWO.search(token):  # no sequence of UTF-8 is shorter
+            continue
         for e in ("cp1252", "cp437", "cp850", "mac_roman", "cp1250", "cp1251", "koi8-r"):
             data = encode_as(token, e)
             if data is not None:
@@ -187,60 +251,113 @@ def has_signs(text: str) -> bool:
     return False
 
 
-def count_grams(documents: DataFrame, text: str = "text") -> np.ndarray:
-    """The model's counts over the clean records, ``TABLE`` entries; equal texts count once.
+def distinct_words(documents: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n): every word with a non-ASCII character and how often it stands in the texts, written to the shared folder."""
+    word = F.explode(F.split(text, _WORDS)).alias("word")
+    other = r"[^\x00-\x7f]"
+    found = spread(documents.where(F.col(text).rlike(other)).select(text)).select(word).where(F.col("word").rlike(other))
+    return materialise(found.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+
+
+def mark_spoilt(words: DataFrame) -> DataFrame:
+    """``words`` with ``spoilt``: whether a chain turns the word into another that stands in the texts more often.
 
-    A first model counts all records without signs.  For the second, which is returned, the lines and sentences that a
-    chain makes likelier by twice the margin in the first, in which nothing is expected, are left out.
+    Digits and capital letters make no difference.  A garbled word is rarer than what it was; sound words that a chain
+    turns into each other are next to unknown."""
+    key = lambda c: F.translate(F.lower(c), "123456789", "000000000")
+    totals = words.groupBy(key("word").alias("key")).agg(F.sum("n").alias("m"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [(w, c) for w in batch.column(0).to_pylist() for c, _, lost in _candidates(w) if not lost]
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1)], ["word", "candidate"])
+
+    pairs = spread(words.select("word")).mapInArrow(run, "word string, candidate string").select("word", key("word").alias("own"), key("candidate").alias("key"))
+    better = pairs.join(totals, "key").withColumnRenamed("m", "better").drop("key").join(totals, F.col("own") == F.col("key")).where("better > m")
+    return materialise(words.join(better.select("word").distinct().withColumn("spoilt", F.lit(True)), "word", "left").select("word", "n", F.coalesce("spoilt", F.lit(False)).alias("spoilt")), "words")
+
+
+def _held_out(words: DataFrame, yes: bool) -> DataFrame:
+    own = F.pmod(F.xxhash64("word"), F.lit(HELD_OUT)) == 0
+    return words.where(own if yes else ~own)
+
+
+def train(words: DataFrame) -> tuple[tuple[np.ndarray, float], tuple[np.ndarray, float]]:
+    """The model's counts over the clean words and their number of characters, and the same without the held-out words.
+
+    A first model counts all words without signs.  For the second, spoilt words and those words and their parts that a
+    chain makes likelier by twice the least margin in the first, in which nothing is expected, are left out.
     """
-    spark = documents.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    source = documents.where(F.col(text).rlike(r"[^\x00-\x7f]")).select(text).repartition(tasks, text).distinct()
-    first = spark.sparkContext.broadcast(_count(source, None))
-    counts = _count(source, first)
+    spark = words.sparkSession
+    words = mark_spoilt(words)
+    first = spark.sparkContext.broadcast(_count(words, None))
+    kept, held = _count(_held_out(words, False), first), _count(_held_out(words, True), first)
     first.unpersist()
-    return counts
+    return (kept[0] + held[0], kept[1] + held[1]), kept
 
 
-def _count(source: DataFrame, first: Broadcast | None) -> np.ndarray:
+def _count(words: DataFrame, first: Broadcast | None) -> tuple[np.ndarray, float]:
     """Each task adds up its own table and sends what is not zero, at most TABLE pairs, which are added by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Counter = Counter()
-        hashed: Counter = Counter()
-        model = first and Model(first.value, expects=False)
+        own, total = np.zeros(TABLE, np.int64), 0
+        model = first and Model(*first.value, expects=False)
+        for batch in batches:
+            for word, n, spoilt in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if has_signs(word) or model and spoilt:
+                    continue
+                at, g = grams(word)
+                if model:
+                    left_out = doubtful(word, model)
+                    keep = np.array([not any(a <= i < b for a, b in left_out) for i in at], bool)
+                    at, g = at[keep], [x[keep] for x in g]
+                for x in g:
+                    np.add.at(own, x, n)
+                total += n * len(at)
+        where = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[where, -1]), pa.array(np.r_[own[where], total])], ["at", "n"])
+
+    added = spread(words).mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    at, n = added["at"].to_numpy(), added["n"].to_numpy()
+    counts = np.zeros(TABLE, np.int32)
+    counts[at[at >= 0]] = np.minimum(n[at >= 0], 2**30 - 1)
+    return counts, float(n[at < 0].sum())
+
+
+def validate(words: DataFrame, model: Broadcast) -> tuple[float, dict[float, tuple[int, int, int, int]]]:
+    """The margin to use, and for each margin: held-out sound words, those changed, words garbled on purpose, those restored.
+
+    Held-out words with signs, or that a chain makes likelier by twice the least margin, are not taken for sound."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Model(*model.value)
+        tally = {x: [0, 0, 0, 0] for x in MARGINS}
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                if t and not has_signs(t):
-                    left_out = {i for a, b in doubtful(t, model) for i in range(a, b)} if model else ()
-                    for m, g in zip(_OTHER.finditer(t), grams(t)):
-                        if m.start() not in left_out:
-                            own.update(g)
-                            own["n"] += 1
-                if len(own) > 500_000:
-                    _fold_counts(own, hashed)
-        _fold_counts(own, hashed)
-        yield pa.RecordBatch.from_arrays([pa.array(list(hashed), pa.int64()), pa.array(list(hashed.values()), pa.int64())], ["at", "n"])
-
-    added = source.mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(TABLE, np.int64)
-    counts[added["at"].to_numpy()] = added["n"].to_numpy()
-    return counts
-
-
-def _fold_counts(own: Counter, hashed: Counter) -> None:
-    for s, k in own.items():
-        hashed[_hash(s)] += k
-    own.clear()
+            for word in batch.column(0).to_pylist():
+                if has_signs(word) or doubtful(word, m):
+                    continue
+                spoilt = {got[0] for wrong, right in CHAINS if (data := encode_as(word, right)) and (got := decode_as(data, wrong)) and not got[1] and got[0] != word and not got[0].isascii()}
+                for margin, t in tally.items():
+                    t[0] += 1
+                    t[1] += _best(" ", word, " ", m, margin) is not None
+                    t[2] += len(spoilt)
+                    t[3] += sum(bool(best := _best(" ", x, " ", m, margin)) and best[0] == word for x in spoilt)
+        yield pa.RecordBatch.from_arrays([pa.array(list(tally), pa.float64()), *(pa.array([t[i] for t in tally.values()], pa.int64()) for i in range(4))], ["margin", "a", "b", "c", "d"])
+
+    sums = spread(_held_out(words, True)).mapInArrow(run, "margin double, a bigint, b bigint, c bigint, d bigint").groupBy("margin").agg(*[F.sum(x).alias(x) for x in "abcd"]).collect()
+    tally = {r["margin"]: (r["a"], r["b"], r["c"], r["d"]) for r in sums}
+    fit = [m for m in MARGINS if m in tally and tally[m][1] <= FALSE_RATE * tally[m][0]]
+    return (fit[0] if fit else MARGINS[-1]), tally
 
 
 def _candidates(piece: str) -> Iterator[tuple[str, str, int]]:
     """(text, chain, bytes lost) of every chain that applies to the piece."""
     known: dict[str, bytes | None] = {}
     seen = {piece}
+    used = {c for c in piece if c > "\x7f"}
     for wrong, right in CHAINS:
         if wrong not in known:
-            known[wrong] = encode_as(piece, wrong)
+            known[wrong] = encode_as(piece, wrong) if wrong in DOUBLE or used <= _table(wrong).keys() else None
         data = known[wrong]
         if data is None:
             continue
@@ -248,7 +365,7 @@ def _candidates(piece: str) -> Iterator[tuple[str, str, int]]:
         if got and got[0] not in seen:
             seen.add(got[0])
             yield got[0], f"{wrong}>{right}", got[1]
-            if right == "utf-8" and not got[0].isascii() and wrong in SINGLE[:6]:
+            if right == "utf-8" and not got[0].isascii():
                 again = encode_as(got[0], wrong)
                 twice = again and decode_as(again, right)
                 if twice and twice[0] not in seen:
@@ -265,22 +382,24 @@ def _is_mixture(text: str) -> bool:
     return bool(_MIXED.search(text)) or any("Ѐ" <= c <= "ӿ" for c in text) and not _CYRILLIC.search(text)
 
 
-def _best(left: str, piece: str, right: str, model: Model, times: float = 1.0) -> tuple[str, str, int] | None:
-    """The accepted candidate of a piece that stands between two characters; it has to win by ``times`` the margin."""
+def _best(left: str, piece: str, right: str, model: Model, margin: float) -> tuple[str, str, int] | None:
+    """The accepted candidate of a piece that stands between two characters; it has to win by the margin."""
     own = model.score(left + piece + right)
     best, most = None, own
     for text, chain, lost in _candidates(piece):
         if "�" in text or _C1.search(text) or _is_mixture(text):
             continue
-        if chain.rpartition(">")[2] in DOUBLE and len(_EASTERN.findall(text)) < 3:  # two bytes are a character by chance
+        if chain.rpartition(">")[2] in DOUBLE and not _EASTERN.search(text):
+            continue
+        if "──" in piece and "──" not in text:  # a drawn line; no encoding has a letter there that is doubled
             continue
         if len(_BOXES.findall(text)) > len(_BOXES.findall(piece)) + text.count("──"):
             continue
-        s = model.score(left + text + right) - 8.0 * lost - (RARE_COST if chain.rpartition(">")[2] in RARE else 0.0)
+        s = model.score(left + text + right) - 8.0 * lost - UNLIKELY.get(chain.rpartition(">")[2], 0.0)
         if s > most:
             best, most = (text, chain, lost), s
     changed = sum(1 for c in piece if c > "\x7f" and not c.isspace())
-    if best and changed and most - own > times * max(MARGIN, MARGIN_EACH * changed):
+    if best and changed and most - own > margin * max(1.0, 0.2 * changed):
         return best
     return None
 
@@ -297,56 +416,82 @@ def _spoils(chain: str, piece: str, model: Model) -> bool:
                 break
             done = got[0]
         else:
-            if model.score(done) < model.score(sentence) - MARGIN:
+            if model.score(done) < model.score(sentence) - MARGINS[1]:
                 return True
     return False
 
 
-def repair(text: str | None, model: Model) -> tuple[bool, str | None, str, bool]:
+def repair(text: str | None, model: Model, margin: float = MARGINS[1]) -> tuple[bool, str | None, str, bool]:
     """(garbled, restored text, chains used, whether it is wholly restored) of a text.
 
-    Lines, their sentences, runs of one script within these and words are tried in turn, the larger pieces first.
+    Lines with a suspicious character are looked at; the line, its sentences, runs of one script within these and words are
+    tried in turn, the larger pieces first.
     """
     if not text or text.isascii():
         return False, text, "", True
+    at, value = model.places(text)
+    return _repair(text, at[value < USUAL], model, margin)
+
+
+def _repair(text: str, suspicious: np.ndarray, model: Model, margin: float) -> tuple[bool, str, str, bool]:
+    """``repair``, given where the suspicious characters are."""
     chains: Counter = Counter()
     lossy = False
-    memo: dict[tuple[str, str, str], str] = {}
 
     def fix(piece: str, level: int, left: str, right: str) -> str:
         nonlocal lossy
         if piece.isascii():
             return piece
-        key = (left, piece, right)
-        if key in memo:
-            return memo[key]
+        key = (left, piece, right, level)
+        known = model.done.get(key)
+        if known is None:
+            used: Counter = Counter()
+            known = (*_fix(piece, level, left, right, used), used)
+            if len(model.done) > 200_000:
+                model.done.clear()
+            model.done[key] = known
+        chains.update(known[2])
+        lossy |= known[1]
+        return known[0]
+
+    def _fix(piece: str, level: int, left: str, right: str, used: Counter) -> tuple[str, bool]:
         if model.worst(left + piece + right) >= USUAL:
-            return piece
-        found = _best(left, piece, right, model)
+            return piece, False
+        found = _best(left, piece, right, model, margin)
         if found and (level > 0 or not _spoils(found[1], piece, model)):
-            chains[found[1]] += 1
-            lossy |= found[2] > 0
-            done = found[0]
-        elif level < len(_CUTS):
-            out, at = [], 0
-            for m in _CUTS[level].finditer(piece):
-                i, j = m.span()
-                out += [piece[at:i], fix(m.group(), level + 1, piece[i - 1] if i else left, piece[j] if j < len(piece) else right)]
-                at = j
-            done = "".join(out) + piece[at:]
-        else:
-            done = piece
-        memo[key] = done
-        return done
-
-    restored = _PIECES.sub(lambda m: fix(m.group(), 0, " ", " "), text)
+            used[found[1]] += 1
+            return found[0], found[2] > 0
+        if level == len(_CUTS):
+            return piece, False
+        out, at, lost = [], 0, False
+        for m in _CUTS[level].finditer(piece):
+            i, j = m.span()
+            part, gone = inner(m.group(), level + 1, piece[i - 1] if i else left, piece[j] if j < len(piece) else right, used)
+            out += [piece[at:i], part]
+            lost |= gone
+            at = j
+        return "".join(out) + piece[at:], lost
+
+    def inner(piece: str, level: int, left: str, right: str, used: Counter) -> tuple[str, bool]:
+        return (piece, False) if piece.isascii() else _fix(piece, level, left, right, used)
+
+    out, done = [], 0
+    for i in suspicious.tolist():
+        if i < done:
+            continue
+        start = max(text.rfind("\n", 0, i), text.rfind("\r", 0, i)) + 1
+        ends = [e for e in (text.find("\n", i), text.find("\r", i)) if e >= 0]
+        end = min(ends, default=len(text))
+        out += [text[done:start], fix(text[start:end], 0, " ", " ")]
+        done = end
+    restored = "".join(out) + text[done:]
     left = "�" in restored or bool(_C1.search(restored))
     garbled = bool(chains) or "�" in text or bool(_C1.search(text))
     return garbled, restored, ",".join(sorted(chains)), not left and not lossy
 
 
 def doubtful(text: str, model: Model) -> list[tuple[int, int]]:
-    """The lines, sentences, script runs and words of the text that a chain makes likelier by twice the margin.
+    """The lines, sentences, script runs and words of the text that a chain makes likelier by twice the least margin.
 
     Lines and sentences are all scored, as garbled text that is usual here is not suspicious; their parts if suspicious."""
     out: list[tuple[int, int]] = []
@@ -358,7 +503,7 @@ def doubtful(text: str, model: Model) -> list[tuple[int, int]]:
         left, right = text[at - 1] if at else " ", text[end] if end < len(text) else " "
         if level > 1 and model.worst(left + piece + right) >= USUAL:
             return
-        if _best(left, piece, right, model, 2.0):
+        if _best(left, piece, right, model, 2 * MARGINS[0]):
             out.append((at, end))
         elif level < len(_CUTS):
             for m in _CUTS[level].finditer(piece):
@@ -372,15 +517,26 @@ def doubtful(text: str, model: Model) -> list[tuple[int, int]]:
 def restore(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, restored, chains, whole) of the garbled documents."""
     spark = documents.sparkSession
-    counts = spark.sparkContext.broadcast(count_grams(documents, text))
+    words = distinct_words(documents, text)
+    trained, without = (spark.sparkContext.broadcast(x) for x in train(words))
+    margin, _ = validate(words, without)
     source = spread(documents.where(F.col(text).rlike(r"[^\x00-\x7f]")).select(key, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(counts.value)
+        model = Model(*trained.value)
         for batch in batches:
             keep, out = [], ([], [], [])
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                garbled, restored, chains, whole = repair(t, model)
+            texts = batch.column(1).to_pylist()
+            # all texts of the batch are scored in one go
+            at, value = model.places("\n".join(texts))
+            bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
+            bad = at[value < USUAL]
+            part = np.searchsorted(bad, bounds)
+            for i, t in enumerate(texts):
+                own = bad[part[i] : part[i + 1]] - bounds[i]
+                if not len(own) and "�" not in t and not _C1.search(t):
+                    continue
+                garbled, restored, chains, whole = _repair(t, own, model, margin)
                 if garbled:
                     keep.append(i)
                     for c, v in zip(out, (restored, chains, whole)):
