@@ -260,7 +260,8 @@ def distinct_words(documents: DataFrame, text: str = "text") -> DataFrame:
 
 
 def mark_spoilt(words: DataFrame) -> DataFrame:
-    """``words`` with ``spoilt``: whether a chain turns the word into another that stands in the texts more often.
+    """``words`` with ``spoilt``: whether a chain turns the word into another, of three letters at least, that stands in the
+    texts twice as often.
 
     Digits and capital letters make no difference.  A garbled word is rarer than what it was; sound words that a chain
     turns into each other are next to unknown."""
@@ -269,11 +270,11 @@ def mark_spoilt(words: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [(w, c) for w in batch.column(0).to_pylist() for c, _, lost in _candidates(w) if not lost]
+            pairs = [(w, c) for w in batch.column(0).to_pylist() for c, _, lost in _candidates(w) if not lost and sum(map(str.isalpha, c)) >= 3]
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1)], ["word", "candidate"])
 
     pairs = spread(words.select("word")).mapInArrow(run, "word string, candidate string").select("word", key("word").alias("own"), key("candidate").alias("key"))
-    better = pairs.join(totals, "key").withColumnRenamed("m", "better").drop("key").join(totals, F.col("own") == F.col("key")).where("better > m")
+    better = pairs.join(totals, "key").withColumnRenamed("m", "better").drop("key").join(totals, F.col("own") == F.col("key")).where("better >= 2 * m")
     return materialise(words.join(better.select("word").distinct().withColumn("spoilt", F.lit(True)), "word", "left").select("word", "n", F.coalesce("spoilt", F.lit(False)).alias("spoilt")), "words")
 
 
