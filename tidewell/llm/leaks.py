@@ -1,19 +1,23 @@
 """Passages of evaluation items in a training corpus (problem 7).
 
-Method: a distributed positional inverted index, partitioned by document.  A first pass counts the terms of the
-evaluation items in the whole corpus.  In the second, each partition takes the postings (term, document, position) of its
-documents for the rarest terms of each item, moves them by the term's place in the item, and intersects them: places
-of one document that agree are a candidate.  Candidates are verified on the document's words by an alignment that
-counts words changed, lost or added.  A document's postings never leave its partition, so nothing is shuffled but counts.
+Method: a distributed positional inverted index.  The corpus is read and cut into words once, whatever the number of
+items; its words are kept as numbers (``token_store``).  From them come the frequencies of the items' terms, and the
+postings (term, document, position) of the rarest terms of every item, which are stored by term, hot terms split over
+partitions (``postings``).  The lists are joined with the items' terms, moved by the term's place in the item and
+intersected: a document in which enough terms of an item agree on a place is a candidate.  Candidates are verified
+on the document's words there by an alignment that counts words changed, lost or added.
+
+What tasks are sent has a fixed size: sets of terms and of documents are bit fields of ``BITS`` bits, whose false hits
+the joins that follow remove.  Items are joined, never broadcast by hand, so their number and length have no limit.
 
 Texts are cut into words without case, punctuation, mark-up and white space; a Chinese or Japanese character is a
 word of its own, and a term is a word or, for such characters, ``GRAM`` of them in a row.
 
 A leak is a span of at least ``SPAN`` words of the item (``SPAN_EAST`` characters) with at most one word in
-``PER`` (one character in ``PER_EAST``) changed, lost or added.  A span of that length has at most ``SPAN // PER``
-changes, each of which spoils one word (or one of several terms of characters that do not overlap), so every span
-keeps ``EXTRA + 1`` of its ``SPAN // PER + 1 + EXTRA`` rarest terms: looking these up for every span of an item and
-asking for so many of them in one place misses no leak.
+``PER`` (one character in ``PER_EAST``) changed, lost or added.  Every such span holds a window of ``SPAN`` words with
+no more changes than ``most_changes`` tells, each of which spoils one word (or one of several terms of characters that do
+not overlap), so it keeps ``EXTRA + 1`` of the window's rarest terms if so many more are looked up: asking for
+``EXTRA + 1`` of them in one place misses no leak.
 
 Defined results for odd input: null, empty and blank texts hold no passage; repeated items are one item each by
 ``item_id``; an item shorter than a span leaks only as a whole; empty tables give no rows; texts are read whole.
@@ -25,26 +29,31 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.runtime import spread
+from tidewell.runtime import materialise, spread
 
 SPAN, PER = 20, 7
 SPAN_EAST, PER_EAST, GRAM = 40, 12, 4
 #: Terms looked up beyond the ones that changes may spoil; so many more must then be found in one place.
-EXTRA = 2
+EXTRA = 6
 #: How far the places of one passage may drift apart by words lost or added, on top of the share of changes.
 DRIFT = 8
-#: Places (document position less item position) of one passage lie within a stretch of this length.
-STRETCH = 64
-#: Items are broadcast up to so many rows; a larger set is joined by term.
-BROADCAST_ITEMS = 20_000
+#: Places (document position less item position) are intersected in overlapping stretches of twice this length; the
+#: places of a window differ by its changes at most.
+STRETCH = 8
+#: Bits of the fields that stand for sets of terms and documents.
+BITS = 1 << 22
 
 _EAST = "぀-ヿ㐀-䶿一-鿿豈-﫿"
 _WORD = re.compile(f"[{_EAST}]|[^\\W_{_EAST}]+(?:_[^\\W_{_EAST}]+)*")
+_PLAIN = re.compile("[a-z0-9]+(?:_[a-z0-9]+)*")
 _IS_EAST = re.compile(f"[{_EAST}]")
 _MARKUP = re.compile(r"<[^<>\n]{1,80}>|&(?:nbsp|amp|lt|gt|quot|#\d{1,5});")
 _SIGNS = re.compile("[­​-‏⁠﻿*`~\\\\]")
@@ -55,114 +64,222 @@ def words(text: str | None) -> list[str]:
     """The words of a text in order: folded, without marks."""
     if not text:
         return []
-    text = _HYPHEN.sub("", _SIGNS.sub("", _MARKUP.sub(" ", text)))
-    text = unicodedata.normalize("NFKC", text)
-    return _WORD.findall(text.casefold())
+    if "<" in text or "&" in text:
+        text = _MARKUP.sub(" ", text)
+    text = _SIGNS.sub("", text)
+    if "-" in text:
+        text = _HYPHEN.sub("", text)
+    if text.isascii():
+        return _PLAIN.findall(text.lower())
+    return _WORD.findall(unicodedata.normalize("NFKC", text).casefold())
+
+
+_numbers: dict[str, int] = {}
+
+
+def numbers(of: list[str]) -> np.ndarray:
+    """The words as numbers of 63 bits; the lowest bit tells Chinese and Japanese characters."""
+    if len(_numbers) > 500_000:
+        _numbers.clear()
+    out = []
+    for w in of:
+        n = _numbers.get(w)
+        if n is None:
+            n = _numbers[w] = int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") >> 2 << 1 | bool(_IS_EAST.match(w))
+        out.append(n)
+    return np.array(out, np.int64)
+
+
+def terms(tokens: np.ndarray, owner: np.ndarray | None = None) -> np.ndarray:
+    """The term that begins at each token, 0 where none does; ``owner`` numbers the texts of several, one after another."""
+    east = (tokens & 1).astype(bool)
+    out = np.where(east, 0, tokens)
+    n = len(tokens) - GRAM + 1
+    if n > 0 and east.any():
+        whole = np.logical_and.reduce([east[i : i + n] for i in range(GRAM)])
+        if owner is not None:
+            whole &= owner[:n] == owner[GRAM - 1 :]
+        gram = tokens[:n].astype(np.uint64)
+        with np.errstate(over="ignore"):
+            for i in range(1, GRAM):
+                gram = gram * np.uint64(0x9E3779B97F4A7C15) + tokens[i : i + n].astype(np.uint64)
+        out[:n] = np.where(whole, (gram >> np.uint64(1)).astype(np.int64) | 1, out[:n])
+    return out
+
+
+def token_store(texts: DataFrame, key: str) -> DataFrame:
+    """(key, tokens) of every text that has a word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [numbers(words(t)) for t in batch.column(1).to_pylist()]
+            keep = [i for i, x in enumerate(found) if len(x)]
+            offsets = np.cumsum([0, *(len(found[i]) for i in keep)]).astype(np.int32)
+            flat = np.concatenate([found[i] for i in keep]) if keep else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [key, "tokens"])
+
+    source = texts.select(F.col(key).cast("bigint").alias(key), "text").where(F.col(key).isNotNull() & (F.length("text") > 0))
+    return spread(source).mapInArrow(run, f"{key} bigint, tokens array<bigint>")
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of a batch of the store in one array, the row of each, and its position in the row."""
+    lists = batch.column(1)
+    ends = lists.offsets.to_numpy()
+    tokens = lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
+    n = np.diff(ends)
+    owner = np.repeat(np.arange(len(n)), n)
+    return tokens, owner, np.arange(len(tokens)) - np.repeat(ends[:-1] - ends[0], n)
+
+
+def bit_field(values: DataFrame, column: str) -> Broadcast:
+    """The set of a column's values, a bit each; the driver gets no more than ``BITS`` numbers."""
+    at = values.select(F.pmod(F.xxhash64(column), F.lit(BITS)).cast("int").alias("at")).distinct().toArrow()["at"].to_numpy()
+    field = np.zeros(BITS, bool)
+    field[at] = True
+    return values.sparkSession.sparkContext.broadcast(np.packbits(field))
+
+
+def _term_bits(item_terms: DataFrame) -> Broadcast:
+    """The same of terms, which are numbers already."""
+    at = item_terms.select(F.pmod(F.shiftright("term", 1), F.lit(BITS)).cast("int").alias("at")).distinct().toArrow()["at"].to_numpy()
+    field = np.zeros(BITS, bool)
+    field[at] = True
+    return item_terms.sparkSession.sparkContext.broadcast(np.packbits(field))
 
 
-def terms(of: list[str]) -> list[tuple[int, str]]:
-    """(position, term) of a list of words."""
-    found = []
-    for i, w in enumerate(of):
-        if not _IS_EAST.match(w):
-            found.append((i, w))
-        elif i + GRAM <= len(of) and all(_IS_EAST.match(x) for x in of[i : i + GRAM]):
-            found.append((i, "".join(of[i : i + GRAM])))
-    return found
+def _has(field: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Which of the terms may be in the set."""
+    return (found != 0) & field[(found >> 1) % BITS]
 
 
-def _item_terms(items: DataFrame) -> DataFrame:
-    """(item_id, pos, term, east, n_words) of every item."""
+def frequencies(store: DataFrame, item_terms: DataFrame) -> DataFrame:
+    """(term, n): how often the items' terms stand in the corpus; added up by each task before anything is sent."""
+    wanted = _term_bits(item_terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = np.unpackbits(wanted.value).astype(bool)
+        own: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.int64())], ["term", "n"])
+
         for batch in batches:
-            rows: list[tuple] = []
-            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                w = words(text)
-                east = sum(bool(_IS_EAST.match(x)) for x in w) > len(w) / 2
-                rows += [(item, i, t, east, len(w)) for i, t in terms(w)]
-            columns = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.int32()))], ["item_id", "pos", "term", "east", "n_words"])
+            tokens, owner, _ = _flat(batch)
+            found = terms(tokens, owner)
+            for t, n in zip(*(x.tolist() for x in np.unique(found[_has(field, found)], return_counts=True))):
+                own[t] += n
+            if len(own) > 1_000_000:
+                yield out()
+                own.clear()
+        yield out()
+
+    return spread(store).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
-    return items.select(F.col("item_id").cast("bigint"), "text").dropDuplicates(["item_id"]).mapInArrow(run, "item_id bigint, pos int, term string, east boolean, n_words int")
 
+def postings(store: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(term, doc_id, pos): the stored index of the anchors' terms, by term; partitions of hot terms are split."""
+    wanted = _term_bits(anchors)
 
-def _postings(of: list[tuple[int, str]], lookup: dict[str, list[tuple[int, int]]]) -> dict[int, list[tuple[int, int]]]:
-    """For each item the (place, item position) pairs of a document's terms: postings moved by the term's place in the item."""
-    found: dict[int, list[tuple[int, int]]] = {}
-    for p, t in of:
-        for item, pos in lookup.get(t, ()):
-            found.setdefault(item, []).append((p - pos, pos))
-    return found
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = np.unpackbits(wanted.value).astype(bool)
+        for batch in batches:
+            tokens, owner, pos = _flat(batch)
+            found = terms(tokens, owner)
+            keep = np.flatnonzero(_has(field, found))
+            yield pa.RecordBatch.from_arrays([pa.array(found[keep]), batch.column(0).take(pa.array(owner[keep])), pa.array(pos[keep].astype(np.int32))], ["term", "doc_id", "pos"])
 
+    raw = spread(store).mapInArrow(run, "term bigint, doc_id bigint, pos int")
+    return materialise(raw.hint("rebalance", "term").sortWithinPartitions("term", "doc_id", "pos"), "postings")
 
-def _places(hits: list[tuple[int, int]], kept: int) -> Iterator[tuple[int, int]]:
-    """The stretches of places that hold at least ``kept`` different terms of the item.
 
-    Overlapping stretches are joined up to three times the length; a longer run comes as several that overlap.
-    """
-    if len(hits) < kept:
-        return
-    hits = sorted(hits)
-    first, inside = 0, Counter()
-    region: tuple[int, int] | None = None
-    for place, pos in hits:
-        inside[pos] += 1
-        while hits[first][0] < place - STRETCH:
-            gone = hits[first][1]
-            inside[gone] -= 1
-            if not inside[gone]:
-                del inside[gone]
-            first += 1
-        if len(inside) >= kept:
-            start = hits[first][0]
-            if region and start <= region[1] and place - region[0] <= 3 * STRETCH:
-                region = (region[0], place)
-            else:
-                if region:
-                    yield region
-                region = (start, place)
-    if region:
-        yield region
+def item_terms(items: DataFrame) -> DataFrame:
+    """(item_id, pos, term) of every item, from its tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, owner, pos = _flat(batch)
+            found = terms(tokens, owner)
+            keep = np.flatnonzero(found)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[keep])), pa.array(pos[keep].astype(np.int32)), pa.array(found[keep])], ["item_id", "pos", "term"])
+
+    return items.mapInArrow(run, "item_id bigint, pos int, term bigint")
+
+
+def most_changes(span: int, per: int, n_words: int) -> int:
+    """The most changes that every window of ``span`` words of a leak may hold.
+
+    A leak of ``length`` words has ``length // per`` changes; all windows hold those that lie in the words that are common
+    to all windows."""
+    if n_words <= span:
+        return n_words // per
+    return max(min(length // per, 2 * span - length) for length in range(span, min(2 * span, n_words + 1)))
 
 
-def _frequencies(documents: DataFrame, wanted: set[str]) -> dict[str, int]:
-    """How often each wanted term stands in the corpus; added up by each task before anything is sent."""
-    shared = documents.sparkSession.sparkContext.broadcast(wanted)
+def anchors_of(items: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(item_id, item_pos, term, kept): the rarest terms of every window of each item, and how many a leak keeps."""
+    with_n = item_terms(items).join(frequency, "term", "left").groupBy("item_id").agg(F.collect_list(F.struct("pos", "term", F.coalesce("n", F.lit(0)).alias("n"))).alias("t"))
+    rows = items.join(with_n, "item_id").select("item_id", "tokens", F.col("t.pos").alias("pos"), F.col("t.term").alias("term"), F.col("t.n").alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep, own = shared.value, Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                own.update(t for _, t in terms(words(text)) if t in keep)
-        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], ["term", "n"])
+            out: list[tuple] = []
+            for item, tokens, pos, term, n in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                chosen, kept = rarest(sorted(zip(pos, term)), dict(zip(term, n)), len(tokens), is_east(tokens))
+                out += [(item, p, t, kept) for p, t in chosen]
+            columns = list(zip(*out)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int32()))], ["item_id", "item_pos", "term", "kept"])
 
-    counted = spread(documents.select("text").where(F.length("text") > 0)).mapInArrow(run, "term string, n bigint")
-    return {r["term"]: r["n"] for r in counted.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row for each term of the items
+    return materialise(rows.mapInArrow(run, "item_id bigint, item_pos int, term bigint, kept int"), "anchors")
 
 
-def rarest(of: list[tuple[int, str]], frequency: dict[str, int], n_words: int, east: bool) -> tuple[set[tuple[int, str]], int]:
-    """The (position, term) pairs to look up, and how many of them every span keeps whatever the allowed changes."""
+def candidates(index: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(doc_id, item_id, stretches): where at least ``kept`` different terms of the item agree on a place."""
+    hits = index.join(anchors, "term").select("doc_id", "item_id", "term", "kept", F.floor((F.col("pos") - F.col("item_pos")) / STRETCH).alias("b"))
+    each = hits.select("doc_id", "item_id", "term", "kept", F.explode(F.array(F.col("b") - 1, F.col("b"))).alias("stretch"))
+    found = each.groupBy("doc_id", "item_id", "stretch").agg(F.size(F.collect_set("term")).alias("n"), F.max("kept").alias("kept")).where("n >= kept")
+    return found.groupBy("doc_id", "item_id").agg(F.sort_array(F.collect_list("stretch")).alias("stretches"))
+
+
+def is_east(tokens: list[int]) -> bool:
+    """Whether most of an item's words are Chinese or Japanese characters."""
+    return sum(t & 1 for t in tokens) > len(tokens) / 2
+
+
+def rarest(of: list[tuple[int, int]], frequency: dict[int, int], n_words: int, east: bool) -> tuple[set[tuple[int, int]], int]:
+    """The (position, term) pairs to look up, and how many different terms of them every span keeps whatever the allowed changes."""
     span = min(SPAN_EAST if east else SPAN, n_words)
-    changes = span // (PER_EAST if east else PER)
-    apart = GRAM if east else 1
-    chosen: set[tuple[int, str]] = set()
+    changes = most_changes(span, PER_EAST if east else PER, n_words)
+    chosen: set[tuple[int, int]] = set()
     kept = EXTRA + 1
     for start in range(0, n_words - span + 1):
-        inside = [(p, t) for p, t in of if start <= p and p + (apart if east else 1) <= start + span]
-        taken: list[int] = []
-        # terms that share no word: each change spoils one of them at most
-        for p, t in sorted(inside, key=lambda x: (frequency.get(x[1], 0), x[0])):
-            if all(abs(p - q) >= apart for q in taken):
-                taken.append(p)
-                chosen.add((p, t))
-                if len(taken) > changes + EXTRA:
-                    break
-        kept = min(kept, len(taken) - changes)
+        inside = [(p, t) for p, t in of if start <= p and p + (GRAM if t & 1 else 1) <= start + span]
+        taken = _tiles(inside, frequency) if east else sorted(inside, key=lambda x: (frequency.get(x[1], 0), x[0]))
+        names: dict[int, int] = {}
+        for p, t in taken:
+            names.setdefault(t, p)
+            if not east and len(names) > changes + EXTRA:
+                break
+        chosen.update((p, t) for t, p in names.items())
+        kept = min(kept, len(names) - changes)
     return chosen, max(kept, 1)
 
 
-def may_hold(item: list[str], window: list[str], east: bool) -> bool:
+def _tiles(inside: list[tuple[int, int]], frequency: dict[int, int]) -> list[tuple[int, int]]:
+    """As many terms as fit without sharing a word, laid from one of the first words on; the rarest of such rows."""
+    best: list[tuple[int, int]] = []
+    for skip in range(GRAM):
+        row, free = [], inside[0][0] + skip if inside else 0
+        for p, t in inside:
+            if p >= free:
+                row.append((p, t))
+                free = p + (GRAM if t & 1 else 1)
+        if (len(row), -sum(frequency.get(t, 0) for _, t in row)) > (len(best), -sum(frequency.get(t, 0) for _, t in best)):
+            best = row
+    return best
+
+
+def may_hold(item: list, window: list, east: bool) -> bool:
     """Whether the window has enough of the item's words in one region of the item for a span to be there."""
     span, per = min(SPAN_EAST if east else SPAN, len(item)), PER_EAST if east else PER
     there = set(window)
@@ -176,7 +293,7 @@ def may_hold(item: list[str], window: list[str], east: bool) -> bool:
     return False
 
 
-def aligned(item: list[str], doc: list[str], east: bool) -> tuple[int, int] | None:
+def aligned(item: list, doc: list, east: bool) -> tuple[int, int] | None:
     """The longest span of the item that the document's words hold, as (words of the item, changes); None if too short.
 
     Matching blocks of the two lists in order are joined while the changes between them stay within the allowed
@@ -206,7 +323,7 @@ def aligned(item: list[str], doc: list[str], east: bool) -> tuple[int, int] | No
     return best
 
 
-def _with_edges(blocks: list[tuple[int, int, int]], item: list[str], span: int, per: int) -> tuple[int, int] | None:
+def _with_edges(blocks: list[tuple[int, int, int]], item: list, span: int, per: int) -> tuple[int, int] | None:
     """A span whose first or last words are changed ones."""
     for a in range(len(blocks)):
         changes = 0
@@ -220,14 +337,16 @@ def _with_edges(blocks: list[tuple[int, int, int]], item: list[str], span: int,
     return None
 
 
-def _blocks(item: list[str], doc: list[str]) -> list[tuple[int, int, int]]:
+def _blocks(item: list, doc: list) -> list[tuple[int, int, int]]:
     """Blocks (item position, document position, words) of a longest common subsequence."""
     n, m = len(item), len(doc)
-    table = [[0] * (m + 1) for _ in range(n + 1)]
+    grid = np.zeros((n + 1, m + 1), np.int32)
+    number: dict = {}
+    a, b = (np.array([number.setdefault(w, len(number)) for w in x], np.int32) for x in (item, doc))
     for i in range(n - 1, -1, -1):
-        row, below, w = table[i], table[i + 1], item[i]
-        for j in range(m - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if w == doc[j] else below[j] if below[j] >= row[j + 1] else row[j + 1]
+        below = grid[i + 1]
+        grid[i, :m] = np.maximum.accumulate(np.where(b == a[i], below[1:] + 1, below[:-1])[::-1])[::-1]
+    table = grid.tolist()
     i = j = 0
     blocks: list[tuple[int, int, int]] = []
     while i < n and j < m:
@@ -241,64 +360,75 @@ def _blocks(item: list[str], doc: list[str]) -> list[tuple[int, int, int]]:
             i += 1
         else:
             j += 1
-    return blocks
+    return _moved_together(blocks, item, doc)
+
+
+def _moved_together(blocks: list[tuple[int, int, int]], item: list, doc: list) -> list[tuple[int, int, int]]:
+    """The same words with as few gaps: a block takes the words before it from earlier blocks where the texts agree."""
+    out: list[tuple[int, int, int]] = []
+    for i, j, n in reversed(blocks):
+        if out:  # what the block after it has taken
+            n = min(n, out[-1][0] - i, out[-1][1] - j)
+            if n <= 0:
+                continue
+        while i and j and item[i - 1] == doc[j - 1]:
+            i, j, n = i - 1, j - 1, n + 1
+        out.append((i, j, n))
+    return out[::-1]
+
+
+def verified(item: list[int], starts: list[int], windows: list[list[int]]) -> tuple[int, int] | None:
+    """The longest span of the item in one of the windows of a document, or in neighbouring ones put together."""
+    east, best = is_east(item), None
+    runs: list[list[list[int]]] = []
+    end = -1
+    for start, window in zip(starts, windows):
+        if start <= end and runs:
+            runs[-1][0] = runs[-1][0] + window[end - start :]
+            runs[-1].append(window)
+        else:
+            runs.append([window, window])
+        end = max(end, start + len(window))
+    for joined, *own in runs:
+        # a long run may hold the item more than once
+        for w in [joined, *own] if len(own) > 4 else [joined]:
+            if best and best[0] == len(item):
+                return best
+            found = aligned(item, w, east) if may_hold(item, w, east) else None
+            if found and (best is None or found[0] > best[0]):
+                best = found
+    return best
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, shared_words, changes, whole) of every leak; ``whole`` if the span is the item.
+    """(doc_id, item_id, shared_words, changes, whole) of every leak; ``whole`` if the span is the item."""
+    store = materialise(token_store(documents, "doc_id"), "tokens")
+    known = materialise(token_store(items.where("length(text) > 0").dropDuplicates(["item_id"]), "item_id"), "items")
+    anchors = anchors_of(known, frequencies(store, item_terms(known)))
+    found = materialise(candidates(postings(store, anchors), anchors), "candidates")
+    wanted = bit_field(found, "doc_id")
+
+    def of_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = np.unpackbits(wanted.value).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(field[batch.column(2).to_numpy()])).select(["doc_id", "tokens"])
 
-    The set of items is checked: up to ``BROADCAST_ITEMS`` its terms are sent to all tasks; a larger one is
-    processed in blocks of that many items, each against all documents.
-    """
-    items = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id is not null and length(text) > 0").dropDuplicates(["item_id"])
-    blocks = -(-items.count() // BROADCAST_ITEMS)
-    parts = [_leaks(documents, items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)) for b in range(blocks)] if blocks > 1 else [_leaks(documents, items)]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return found
-
-
-def _leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
-    spark = documents.sparkSession
-    item_terms: dict[int, list[tuple[int, str]]] = {}
-    about: dict[int, tuple[bool, int]] = {}
-    for r in _item_terms(items).collect():  # at most BROADCAST_ITEMS items
-        item_terms.setdefault(r["item_id"], []).append((r["pos"], r["term"]))
-        about[r["item_id"]] = (r["east"], r["n_words"])
-    texts = {r["item_id"]: r["text"] for r in items.collect()}
-    vocabulary = {t for of in item_terms.values() for _, t in of}
-    frequency = _frequencies(documents, vocabulary)
-    table: dict[str, list[tuple[int, int]]] = {}
-    needed: dict[int, int] = {}
-    for item, of in item_terms.items():
-        chosen, needed[item] = rarest(of, frequency, about[item][1], about[item][0])
-        for p, t in chosen:
-            table.setdefault(t, []).append((item, p))
-    index = spark.sparkContext.broadcast((table, needed))  # bounded by the checked number of items
-    checked = spark.sparkContext.broadcast({i: (words(t), about[i][0]) for i, t in texts.items() if i in about})
+    few = store.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(BITS))).mapInArrow(of_candidates, "doc_id bigint, tokens array<bigint>")
+    n = F.size("item")
+    slack = F.lit(DRIFT) + F.floor(n / PER).cast("int")
+    start = lambda r: F.greatest(r * STRETCH - slack, F.lit(0)).cast("int")
+    length = lambda r: F.greatest((r * STRETCH + 2 * STRETCH + n + slack).cast("int") - start(r), F.lit(0))
+    placed = found.join(known.select("item_id", F.col("tokens").alias("item")), "item_id").join(few, "doc_id")
+    pieces = placed.select("doc_id", "item_id", "item", F.transform("stretches", start).alias("starts"), F.transform("stretches", lambda r: F.slice("tokens", start(r) + 1, length(r))).alias("windows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (lookup, kept), known = index.value, checked.value
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                w = words(text)
-                for i, hits in _postings(terms(w), lookup).items():
-                    item, east = known[i]
-                    best: tuple[int, int] = (0, 0)
-                    slack = DRIFT + len(item) // (PER_EAST if east else PER)
-                    for low, high in _places(hits, kept[i]):
-                        if best[0] == len(item):
-                            break
-                        window = w[max(0, low - slack) : max(0, high + len(item) + slack)]
-                        found = aligned(item, window, east) if may_hold(item, window, east) else None
-                        if found and found[0] > best[0]:
-                            best = found
-                    if best[0]:
-                        rows.append((doc, i, *best, best[0] == len(item)))
+            for doc, item_id, item, starts, windows in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                best = verified(item, starts, windows)
+                if best:
+                    rows.append((doc, item_id, *best, best[0] == len(item)))
             columns = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()))], ["doc_id", "item_id", "shared_words", "changes", "whole"])
 
-    texts_only = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.length("text") > 0)
-    return spread(texts_only).mapInArrow(run, "doc_id bigint, item_id bigint, shared_words int, changes int, whole boolean")
+    return pieces.mapInArrow(run, "doc_id bigint, item_id bigint, shared_words int, changes int, whole boolean")
