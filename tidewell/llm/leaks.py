@@ -42,7 +42,7 @@ from tidewell.runtime import materialise, spread
 SPAN, PER = 20, 7
 SPAN_EAST, PER_EAST, GRAM = 40, 12, 4
 #: Terms looked up beyond the ones that changes may spoil; so many more must then be found in one place.
-EXTRA = 6
+EXTRA = 3
 #: How far the places of one passage may drift apart by words lost or added, on top of the share of changes.
 DRIFT = 8
 #: Places (document position less item position) are intersected in overlapping stretches of twice this length; the
@@ -234,10 +234,13 @@ def anchors_of(items: DataFrame, frequency: DataFrame) -> DataFrame:
 
 
 def candidates(index: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(doc_id, item_id, stretches): where at least ``kept`` different terms of the item agree on a place."""
-    hits = index.join(anchors, "term").select("doc_id", "item_id", "term", "kept", F.floor((F.col("pos") - F.col("item_pos")) / STRETCH).alias("b"))
-    each = hits.select("doc_id", "item_id", "term", "kept", F.explode(F.array(F.col("b") - 1, F.col("b"))).alias("stretch"))
-    found = each.groupBy("doc_id", "item_id", "stretch").agg(F.size(F.collect_set("term")).alias("n"), F.max("kept").alias("kept")).where("n >= kept")
+    """(doc_id, item_id, stretches): where at least ``kept`` terms of the item agree on a place.
+
+    The terms found in a stretch are bits of one number, by their position in the item modulo 64, which is exact for the
+    terms of one window of the item."""
+    hits = index.join(anchors, "term").select("doc_id", "item_id", F.expr("shiftleft(1L, item_pos % 64)").alias("bit"), "kept", F.floor((F.col("pos") - F.col("item_pos")) / STRETCH).alias("b"))
+    each = hits.select("doc_id", "item_id", "bit", "kept", F.explode(F.array(F.col("b") - 1, F.col("b"))).alias("stretch"))
+    found = each.groupBy("doc_id", "item_id", "stretch").agg(F.bit_count(F.bit_or("bit")).alias("n"), F.max("kept").alias("kept")).where("n >= kept")
     return found.groupBy("doc_id", "item_id").agg(F.sort_array(F.collect_list("stretch")).alias("stretches"))
 
 
@@ -279,16 +282,23 @@ def _tiles(inside: list[tuple[int, int]], frequency: dict[int, int]) -> list[tup
     return best
 
 
-def may_hold(item: list, window: list, east: bool) -> bool:
-    """Whether the window has enough of the item's words in one region of the item for a span to be there."""
+def may_hold(item: list, window: list, east: bool, place: int) -> bool:
+    """Whether a window of the item has enough of its words where the document has the item from ``place`` of the window on,
+    give or take a stretch."""
     span, per = min(SPAN_EAST if east else SPAN, len(item)), PER_EAST if east else PER
-    there = set(window)
-    least, n = span - span // per - 2, 0
+    changes = most_changes(span, per, len(item))
+    at: dict = {}
+    for j, w in enumerate(window):
+        at.setdefault(w, []).append(j)
+    low, high = place - changes, place + 2 * STRETCH + changes
+    inside, n = [], 0
     for i, w in enumerate(item):
-        n += w in there
+        hit = any(i + low <= j <= i + high for j in at.get(w, ()))
+        inside.append(hit)
+        n += hit
         if i >= span:
-            n -= item[i - span] in there
-        if n >= least and i >= span - 1:
+            n -= inside[i - span]
+        if n >= span - changes and i >= span - 1:
             return True
     return False
 
@@ -377,12 +387,14 @@ def _moved_together(blocks: list[tuple[int, int, int]], item: list, doc: list) -
     return out[::-1]
 
 
-def verified(item: list[int], starts: list[int], windows: list[list[int]]) -> tuple[int, int] | None:
+def verified(item: list[int], stretches: list[int], starts: list[int], windows: list[list[int]]) -> tuple[int, int] | None:
     """The longest span of the item in one of the windows of a document, or in neighbouring ones put together."""
     east, best = is_east(item), None
     runs: list[list[list[int]]] = []
     end = -1
-    for start, window in zip(starts, windows):
+    for stretch, start, window in zip(stretches, starts, windows):
+        if not may_hold(item, window, east, stretch * STRETCH - start):
+            continue
         if start <= end and runs:
             runs[-1][0] = runs[-1][0] + window[end - start :]
             runs[-1].append(window)
@@ -394,7 +406,7 @@ def verified(item: list[int], starts: list[int], windows: list[list[int]]) -> tu
         for w in [joined, *own] if len(own) > 4 else [joined]:
             if best and best[0] == len(item):
                 return best
-            found = aligned(item, w, east) if may_hold(item, w, east) else None
+            found = aligned(item, w, east)
             if found and (best is None or found[0] > best[0]):
                 best = found
     return best
@@ -419,13 +431,13 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     start = lambda r: F.greatest(r * STRETCH - slack, F.lit(0)).cast("int")
     length = lambda r: F.greatest((r * STRETCH + 2 * STRETCH + n + slack).cast("int") - start(r), F.lit(0))
     placed = found.join(known.select("item_id", F.col("tokens").alias("item")), "item_id").join(few, "doc_id")
-    pieces = placed.select("doc_id", "item_id", "item", F.transform("stretches", start).alias("starts"), F.transform("stretches", lambda r: F.slice("tokens", start(r) + 1, length(r))).alias("windows"))
+    pieces = placed.select("doc_id", "item_id", "item", "stretches", F.transform("stretches", start).alias("starts"), F.transform("stretches", lambda r: F.slice("tokens", start(r) + 1, length(r))).alias("windows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for doc, item_id, item, starts, windows in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                best = verified(item, starts, windows)
+            for doc, item_id, item, stretches, starts, windows in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                best = verified(item, stretches, starts, windows)
                 if best:
                     rows.append((doc, item_id, *best, best[0] == len(item)))
             columns = list(zip(*rows)) or [[]] * 5
