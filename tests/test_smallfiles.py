@@ -67,3 +67,15 @@ def test_files_without_an_ordinal_are_packed_first(spark):
     rows = [("g", 0, "d/g/a", 1, 10, None), ("g", None, "d/g/b", 1, 20, None), ("g", 1, "d/g/c", 1, 30, None), ("g", None, "d/g/d", 1, 40, None)]
     got = S.split_packing(spark.createDataFrame(rows, SCHEMA), target_bytes=20, open_cost=0).collect()
     assert sorted((r["place"], r["target_file"]) for r in got) == [("d/g/a", 3), ("d/g/b", 0), ("d/g/c", 3), ("d/g/d", 1)]
+
+
+def test_full_splits_are_close_to_the_target_whatever_the_files_are_like(spark):
+    sizes = {"tiny": [700 + i % 50 for i in range(4000)], "mid": [40_000 + i % 999 for i in range(3000)], "big": [900_000 + i for i in range(500)]}
+    rows = [(g, i, f"d/{g}/{i}", 1, s, None) for g, x in sizes.items() for i, s in enumerate(x)]
+    target = 64 << 20
+    packed = S.split_packing(spark.createDataFrame(rows, SCHEMA), target_bytes=target)
+    splits = packed.groupBy("generation_id", "target_file").agg(F.sum("size_bytes").alias("b"), F.count(F.lit(1)).alias("n")).collect()
+    last = {g: max(r["target_file"] for r in splits if r["generation_id"] == g) for g in sizes}
+    full = [r for r in splits if r["target_file"] < last[r["generation_id"]]]
+    assert len(full) >= 7 and all(0.85 * target < r["b"] <= target + S.SMALL_BYTES for r in full)
+    assert all(r["n"] <= target // S.LEAST_OPEN_COST + 1 for r in splits)

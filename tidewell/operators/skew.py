@@ -1,8 +1,8 @@
-"""Joins and prefix sums that hold when one key has a large share of all rows."""
+"""Joins that hold when one key has a large share of all rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Copies of each row of the key-unique side; a hot key is spread over so many tasks.
@@ -19,21 +19,3 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list
     left = left.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     right = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, salt], how).drop(salt)
-
-
-def blocked_prefix_sum(df: DataFrame, keys: list[str], order: str, value: Column, block_rows: int, name: str, ties: tuple[str, ...] = ()) -> DataFrame:
-    """Add ``name``: the sum of ``value`` over the earlier rows of the same keys in the order of ``order``.
-
-    ``order`` is an integer column, unique within the keys; rows where it is null come first, as one block, in
-    the order of ``ties``.  A plain window would take all rows of a key into
-    one task; here rows are summed within blocks of ``block_rows`` order values, the block totals (one row per
-    block) are summed by a window, and the offset of its block is joined back to each row.
-    """
-    block, own, offset = "__block", "__own", "__offset"
-    least = F.lit(-(2**63)).cast("bigint")
-    df = df.withColumn(block, F.coalesce(F.floor(F.col(order) / F.lit(block_rows)), least))
-    w = Window.partitionBy(*keys, block).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
-    within = df.withColumn(own, F.coalesce(F.sum(value).over(w), F.lit(0)))
-    over = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(*keys, block).agg(F.sum(value).alias("__total")).select(*keys, block, F.coalesce(F.sum("__total").over(over), F.lit(0)).alias(offset))
-    return within.join(totals, [*keys, block]).withColumn(name, F.col(own) + F.col(offset)).drop(block, own, offset)

@@ -1,9 +1,11 @@
 """Consolidating many tiny files into few well-sized ones (problem 2).
 
 Method: engine split packing.  Files are packed in catalogue order into splits of at most ``target_bytes``,
-where every file also costs ``open_cost`` bytes for being opened, as Spark's own file scan does it.  Physical
-files are read through such combined splits, coalesced without a shuffle, written to a staging folder,
-verified and only then moved to their place.
+where every file also costs some bytes for being opened, as Spark's own file scan does it.  The cost is tuned for each
+generation: an eighth of the mean size of its small files, but no less than ``LEAST_OPEN_COST``, which bounds the files
+of a split, and no more than ``OPEN_COST``.  A full split is thus close to the target in bytes, whatever the size of
+its files.  Physical files are read through such combined splits, coalesced without a shuffle, written to a staging
+folder, verified and only then moved to their place.
 
 Defined results for odd input
 -----------------------------
@@ -16,18 +18,17 @@ Defined results for odd input
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.operators.skew import blocked_prefix_sum, salted_join
 from tidewell.runtime import scratch_path
 
 #: A file below this size is small.
 SMALL_BYTES = 1 << 20
 #: Aim for files of this size.
 TARGET_BYTES = 128 << 20
-#: What opening a file costs, in bytes that could be read in that time (Spark's own default).
-OPEN_COST = 4 << 20
+#: What opening a file costs at most, in bytes that could be read in that time (Spark's own default), and at least.
+OPEN_COST, LEAST_OPEN_COST = 4 << 20, 4 << 10
 #: Catalogue ordinals in one block of the prefix sums.
 BLOCK_ROWS = 100_000
 
@@ -61,20 +62,30 @@ def distinct_files(catalogue: DataFrame) -> DataFrame:
     return catalogue.groupBy("generation_id", place.alias("place")).agg(kept).select("generation_id", "place", "f.*")
 
 
-def split_packing(catalogue: DataFrame, small_bytes: int = SMALL_BYTES, target_bytes: int = TARGET_BYTES, open_cost: int = OPEN_COST) -> DataFrame:
+def split_packing(catalogue: DataFrame, small_bytes: int = SMALL_BYTES, target_bytes: int = TARGET_BYTES, open_cost: int | None = None) -> DataFrame:
     """The files to consolidate, each with the number of the combined split (``target_file``) it goes to.
 
-    A file takes part if its size is known and below ``small_bytes`` and its generation has another such file.
-    Columns: generation_id, ordinal, place, row_count, size_bytes, target_file.
+    A file takes part if its size is known and below ``small_bytes`` and its generation has another such file.  A null
+    ``open_cost`` is tuned for each generation.  Columns: generation_id, ordinal, place, row_count, size_bytes, target_file.
+
+    Files are summed up within blocks of ``BLOCK_ROWS`` ordinals, so a generation with any share of the files is spread
+    over tasks; only one row for each block is ordered by generation.
     """
     small = distinct_files(catalogue).where((F.col("size_bytes") >= 0) & (F.col("size_bytes") < small_bytes))
-    several = small.groupBy("generation_id").agg(F.count(F.lit(1)).alias("n_small")).where("n_small >= 2")
     small = small.withColumn("__key", F.coalesce("generation_id", F.lit("\0")))
-    several = several.select(F.coalesce("generation_id", F.lit("\0")).alias("__key"))
-    files = salted_join(small, several, ["__key"], [F.col("place")])
-    cost = F.col("size_bytes") + F.lit(open_cost)
-    summed = blocked_prefix_sum(files, ["__key"], "ordinal", cost, BLOCK_ROWS, "before", ("place",))
-    return summed.select("generation_id", "ordinal", "place", "row_count", "size_bytes", F.floor(F.col("before") / F.lit(target_bytes)).alias("target_file"))
+    # files without an ordinal come first, by place
+    small = small.withColumn("__block", F.coalesce(F.floor(F.col("ordinal") / BLOCK_ROWS), F.lit(-(2**63)).cast("bigint")))
+    small = small.repartition("__key", "__block")
+    totals = small.groupBy("__key", "__block").agg(F.count(F.lit(1)).alias("__n"), F.sum("size_bytes").alias("__bytes"))
+    whole, before = Window.partitionBy("__key"), Window.partitionBy("__key").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    files, size = F.sum("__n").over(whole), F.sum("__bytes").over(whole)
+    cost = F.lit(open_cost) if open_cost is not None else F.greatest(F.least(F.expr("__size div (8 * __files)"), F.lit(OPEN_COST)), F.lit(LEAST_OPEN_COST))
+    totals = totals.select("__key", "__block", files.alias("__files"), size.alias("__size"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n0"), F.coalesce(F.sum("__bytes").over(before), F.lit(0)).alias("__bytes0"))
+    totals = totals.where("__files >= 2").withColumn("__cost", cost.cast("bigint"))
+    within = Window.partitionBy("__key", "__block").orderBy("ordinal", "place").rowsBetween(Window.unboundedPreceding, -1)
+    placed = small.withColumn("__b", F.coalesce(F.sum("size_bytes").over(within), F.lit(0))).withColumn("__r", F.count(F.lit(1)).over(within)).join(totals, ["__key", "__block"])
+    start = F.col("__bytes0") + F.col("__b") + (F.col("__n0") + F.col("__r")) * F.col("__cost")
+    return placed.select("generation_id", "ordinal", "place", "row_count", "size_bytes", F.floor(start / F.lit(target_bytes)).alias("target_file"))
 
 
 def generation_report(catalogue: DataFrame, generations: DataFrame, **packing: int) -> DataFrame:
@@ -116,36 +127,40 @@ def rewrite_records(records: DataFrame, catalogue: DataFrame, out: str, **packin
     return spark.read.parquet(f"{out}/files")
 
 
-def compact_folder(spark: SparkSession, source: str | list[str], out: str, fmt: str = "parquet", target_bytes: int = TARGET_BYTES, open_cost: int = OPEN_COST) -> dict[str, int]:
+def compact_folder(spark: SparkSession, source: str | list[str], out: str, fmt: str = "parquet", target_bytes: int = TARGET_BYTES, open_cost: int | None = None) -> dict[str, int]:
     """Rewrite physical files: combined splits in, one well-sized file per split out, no shuffle.
 
-    The scan packs files into splits of ``target_bytes`` (``spark.sql.files.maxPartitionBytes`` and
-    ``openCostInBytes``), each split is one task and one output file.  The staged output is verified (rows and
-    content hash) and moved to ``out``.  Returns files and rows before and after.
+    The scan packs files into splits of ``target_bytes`` with the tuned cost of opening one, each split is one task and
+    one output file.  The settings are those of a session of its own, so other queries keep theirs.  The staged output is
+    verified (rows and content hash) and moved to ``out``.  Returns files and rows before and after.
     """
-    keys = {"spark.sql.files.maxPartitionBytes": str(target_bytes), "spark.sql.files.openCostInBytes": str(open_cost), "spark.sql.files.minPartitionNum": "1"}
-    before = {k: spark.conf.get(k, None) for k in keys}
-    try:
-        for k, v in keys.items():
-            spark.conf.set(k, v)
-        df = spark.read.format(fmt).load(source)
-        splits = max(1, df.rdd.getNumPartitions())
-        staged = f"{out}/_staging"
-        df.coalesce(splits).write.format(fmt).save(staged)
-        new = spark.read.format(fmt).schema(df.schema).load(staged)
-        digest = lambda x: x.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*x.columns).cast("decimal(38,0)")).alias("h")).first()
-        old_digest, new_digest = digest(df), digest(new)
-        if old_digest != new_digest:
-            raise RuntimeError("the consolidated files differ from their sources; nothing was published")
-        counts = {"files_before": len(df.inputFiles()), "files_after": len(new.inputFiles()), "rows": new_digest["n"]}
-        _move(spark, staged, f"{out}/files")
-        return counts
-    finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
+    own = spark.newSession()
+    paths = [source] if isinstance(source, str) else source
+    if open_cost is None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        summary = [path(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path(p)) for p in paths]
+        open_cost = max(min(sum(x.getLength() for x in summary) // (8 * max(sum(x.getFileCount() for x in summary), 1)), OPEN_COST), LEAST_OPEN_COST)
+    for k, v in {"maxPartitionBytes": target_bytes, "openCostInBytes": open_cost, "minPartitionNum": 1}.items():
+        own.conf.set(f"spark.sql.files.{k}", str(v))
+    df = own.read.format(fmt).load(paths)
+    splits = max(1, df.rdd.getNumPartitions())
+    staged = f"{out}/_staging"
+    df.coalesce(splits).write.format(fmt).save(staged)
+    new = own.read.format(fmt).schema(df.schema).load(staged)
+    digest = lambda x: x.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*x.columns).cast("decimal(38,0)")).alias("h")).first()
+    old_digest, new_digest = digest(df), digest(new)
+    if old_digest != new_digest:
+        raise RuntimeError("the consolidated files differ from their sources; nothing was published")
+    counts = {"files_before": len(df.inputFiles()), "files_after": len(new.inputFiles()), "rows": new_digest["n"]}
+    _move(spark, staged, f"{out}/files")
+    return counts
+
+
+def compacted(spark: SparkSession, source: str) -> DataFrame:
+    """The rows of ``source`` read back from its consolidated copy in a new folder of the shared root."""
+    out = scratch_path(spark, "compacted")
+    compact_folder(spark, source, out)
+    return spark.read.parquet(f"{out}/files")
 
 
 def _move(spark: SparkSession, source: str, target: str) -> None:

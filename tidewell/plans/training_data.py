@@ -31,6 +31,11 @@ def p2_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("row_id", "generation_id", F.col("target_file").cast("bigint").alias("target_file"), "path", "ordinal_in_file", "plot", "reading", "note")
 
 
+def p2_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records of the physical files of ``file_rows``, read back from their consolidated copy."""
+    return smallfiles.compacted(spark, f"{sf_dir}/file_rows.parquet").select("row_id", "path", "ordinal_in_file", "plot", "reading", "note")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every child of every event."""
     return nested.child_rows(table(spark, sf_dir, "assistant_event"))
@@ -41,7 +46,7 @@ def p4_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.shred(table(spark, sf_dir, "assistant_event"), tags=("event",), with_payload=False)["event"].select("session_id", "sequence", "depth", "turn_id", "occurred_at", "type")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_plan, p2_report, p2_files, p4_found, p4_events)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_plan, p2_report, p2_files, p2_compacted, p4_found, p4_events)}
 
 _FILES = r"""
 WITH spelt AS (
@@ -54,8 +59,8 @@ small AS (
   SELECT * FROM files WHERE size_bytes >= 0 AND size_bytes < 1048576
   QUALIFY count(*) OVER (PARTITION BY generation_id) >= 2),
 packed AS (
-  SELECT *, CAST(floor(coalesce(sum(size_bytes + 4194304) OVER (PARTITION BY generation_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 134217728) AS BIGINT) AS target_file
-  FROM small)
+  SELECT *, CAST(floor(coalesce(sum(size_bytes + cost) OVER (PARTITION BY generation_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 134217728) AS BIGINT) AS target_file
+  FROM (SELECT *, greatest(least(CAST(sum(size_bytes) OVER g AS BIGINT) // (8 * count(*) OVER g), 4194304), 4096) AS cost FROM small WINDOW g AS (PARTITION BY generation_id)))
 """
 
 _EVENTS = """
@@ -81,6 +86,7 @@ SQL = {
            CASE WHEN unknown_files > 0 THEN 'unknown' WHEN known_rows = g.row_count THEN 'exact' ELSE 'differs' END AS status
     FROM f LEFT JOIN k USING (generation_id) LEFT JOIN g ON g.id = f.generation_id""",
     "p2_files": _FILES + "SELECT r.row_id, p.generation_id, p.target_file, r.path, r.ordinal_in_file, r.plot, r.reading, r.note FROM file_rows r JOIN packed p ON p.place = r.path",
+    "p2_compacted": "SELECT row_id, path, ordinal_in_file, plot, reading, note FROM file_rows",
     "p4_found": _EVENTS
     + """, held AS (
       SELECT session_id, sequence, json_extract(e, '$.payload.' || m.child) AS v, m.child FROM nested,
