@@ -11,7 +11,7 @@ LONG = "The median of arm_code was 751, while the upper quartile reached 7809. "
 @pytest.mark.parametrize(
     ("message", "answer", "want"),
     [
-        ("How many rows?", None, "empty"), ("How many rows?", "", "empty"), ("How many rows?", " ​—…", "empty"), ("How many rows?", "42", None),
+        ("How many rows?", None, "empty"), ("How many rows?", "", "empty"), ("How many rows?", " ​—…", "empty"), ("How many rows?", "42", None), ("How many rows?", "depth_m 12.5 %", None), ("How?", "because of", "truncated"), ("ok", "OK!", "copied"),
         ("How many rows?", LONG, None), ("How many rows?", LONG + "and the results also show that the", "truncated"), ("q " * 9, LONG + "```\nfor row in resu", "truncated"),
         ("How do I run it on the table?", LONG + "```\nx\n```", None), ("How?", LONG + "\n- a: 1\n- b: 2", None), ("How?", LONG + "\n- a: 1\n- b: 2\n- c", "truncated"), ("How?", LONG + "The column x holds 4,", "truncated"),
         ("How?", "I'm sorry, but I can't help with that request.", "refusal"), ("如何？", "很抱歉，我无法协助处理这个请求。", "refusal"), ("How?", "> As an assistant I must decline to work on x. Please ask something else.", "refusal"),
@@ -65,13 +65,13 @@ def test_pairs_from_events(spark):
 def test_shortened_versions_over_partitions(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "16")
     try:
-        base = ["".join(chr(97 + (i * 7 + j * j) % 26) for j in range(40)) + " more words follow here." for i in range(26)]
-        texts = base + [b[:35] for b in base] + [b.replace("here.", "here. And then") for b in base]
+        base = [" ".join(chr(97 + (i * 7 + j * j) % 26) * 2 for j in range(12)) + " and more words follow here." for i in range(26)]
+        texts = ["First one. " + b for b in base] + ["Another. " + b[:29] + "," for b in base] + [b.replace("here.", "here. And then") for b in base] + ["It is 45.", "It is 45.25 now.", "- a: 1\n- b: 2", "- b: 25.", "x_y 1", "x_y 12."]
         df = spark.createDataFrame([(t,) for t in texts], "final_text string")
-        got = {r["final_text"] for r in P.shortened_versions(df).collect()}
+        got = {r["core"] for r in P.shortened_versions(df).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
-    assert got == {b[:35] for b in base}
+    assert got == {b[:29] for b in base} | {"It is 45."}
 
 
 def test_length_limits(spark):

@@ -1,8 +1,9 @@
 """Defective prompt and response pairs (problem 3).
 
-Method: the responses are sorted by text and every response is compared with its neighbour, whose common prefix
-shows shortened versions; lengths at which far more responses break off than at the lengths around them are
-length limits; then copy, refusal and language rules are applied to each pair.
+Method: the sentences of all responses are sorted by text and the last sentence of each response is compared with its
+neighbour, which begins with the whole of it if the response is a shortened version; lengths at which far more responses
+break off than at the lengths around them are length limits; then copy, refusal and language rules are applied to each
+pair.
 
 Defined results for odd input: events delivered again count once; a turn without exactly one ``turn_started``
 and one ``turn_completed`` is no pair; a null, empty, blank or sign-only answer is ``empty``; a null message has
@@ -25,16 +26,16 @@ from tidewell.llm.language import languages_of
 
 #: Codes of the manager's run that settle a defect (fixed values of the event log).
 TRUNCATED_CODE, FILTERED_CODE = "provider_output_truncated", "provider_content_filtered"
-#: A length is a limit if at least so many unfinished answers have it, and so many times the mean of the lengths around it.
-SPIKE_ANSWERS, SPIKE_TIMES, SPIKE_REACH = 20, 8, 4
-#: Shorter answers are not taken for shortened versions of longer ones.
-SHORTENED_CHARS = 30
+#: A length is a limit if so many times more unfinished answers have it than one and the mean of the lengths around it.
+SPIKE_TIMES, SPIKE_REACH = 8, 4
 
 _BLANK = "​‌‍⁠﻿­"
 _EDGE = re.compile(rf"^[\s{_BLANK}]+|[\s{_BLANK}]+$")
 _WORDLIKE = re.compile(r"[^\W_]")
 _ITEM = re.compile(r"\s*(?:[-*+•]|\d+[.)])\s+\S")
 _VALUE = re.compile(r":\s*\S+$")
+#: A bare fact, which needs no end mark: a name alone, or with a value.
+_FACT = re.compile(r"[\w.-]+(?:[ :：=]+[-+]?[\d.,]+\s?%?)?")
 _STOPS = ".!?。！？…｡؟"
 _CLOSERS = "\"'”’»)]）】」』*_~`"
 #: Words after which no answer ends.
@@ -82,6 +83,8 @@ def is_empty(answer: str | None) -> bool:
 def is_unfinished(answer: str) -> bool:
     """Whether the text breaks off: an open code block, an item or sentence without its end."""
     s = stripped(answer)
+    if _FACT.fullmatch(s):
+        return s.lower() in _CONNECTORS
     if s.count("```") % 2:
         return True
     if s.endswith("```"):
@@ -100,11 +103,6 @@ def is_unfinished(answer: str) -> bool:
         return bare[-1] in ",;:，；：、—-(" or bare.split()[-1].lower() in _CONNECTORS
     if (s[0], s[-1]) in (("(", ")"), ("[", "]"), ("“", "”"), ('"', '"'), ("«", "»")) or s.startswith("--") and s.endswith("--"):
         return False
-    if last[-1] in ",;:，；：、—-([{（“«" or not last[-1].isalnum() and last[-1] not in _CLOSERS:
-        return True
-    words = s.split()
-    if len(words) <= 4 and not any(c in "。！？，" for c in s) and len(s) < 40:  # a bare fact or name
-        return words[-1].lower() in _CONNECTORS
     return True
 
 
@@ -129,7 +127,7 @@ def _plain(text: str) -> str:
 def is_copy(message: str, answer: str) -> bool:
     """Whether the answer is the message again, in whatever marks and spacing, once or more, or after a lead-in."""
     a, b = _plain(message), _plain(answer)
-    if len(a) < 8 or len(b) < len(a):
+    if not a or len(b) < len(a):
         return False
     if len(b) % len(a) == 0 and b == a * (len(b) // len(a)):
         return True
@@ -162,7 +160,7 @@ def defect_of(message: str | None, answer: str | None, truncated_code: bool, fil
         return "copied"
     if is_refusal(answer):
         return "refusal"
-    if shortened or is_unfinished(answer) or at_limit and stripped(answer)[-1] not in _STOPS + _CLOSERS:
+    if shortened or is_unfinished(answer) or at_limit and stripped(answer)[-1] not in _STOPS + _CLOSERS and not _FACT.fullmatch(stripped(answer)):
         return "truncated"
     if message and is_wrong_language(message, answer):
         return "wrong_language"
@@ -188,57 +186,63 @@ def turn_pairs(events: DataFrame) -> DataFrame:
     return one.select("session_id", "turn_id", F.col("u.text").alias("user_message"), F.col("f.text").alias("final_text"), "truncated_code", "filtered_code")
 
 
-def shortened_versions(texts: DataFrame) -> DataFrame:
-    """The distinct ``final_text`` values that another one continues in mid-sentence.
+#: Where a response is cut into sentences, what a cut leaves at the end, and last sentences that may end anywhere.
+_CUT, _REST, _ANYWHERE = r"(?<=[.!?])\s+|(?<=[。！？])\s*|\n+", r"[\s,;:，；：、(（\[…–—-]+$", r"^\s*(?:[-*+•]|\d+[.)])\s|^\||```|^[\w.-]+[ :：=]*[-+]?[\d.,]*\s?%?$"
+
+
+def _sentences(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with ``sentences`` and ``core``: the last sentence without loose ends if it has no end mark, else null."""
+    sentences = F.filter(F.transform(F.split("final_text", _CUT), lambda x: F.trim(x)), lambda x: x != "")
+    rows = pairs.withColumn("sentences", F.array_distinct(sentences))
+    last = F.try_element_at("sentences", F.lit(-1))
+    core = F.regexp_replace(last, _REST, "")
+    open_end = ~F.right(last, F.lit(1)).isin(*_STOPS, *_CLOSERS) & ~last.rlike(_ANYWHERE) & (core != "")
+    return rows.withColumn("core", F.when(open_end | last.rlike(r"[0-9]\.$"), core))  # a point after a digit may stand in a number
+
+
+def _goes_on(core: str, text: str) -> bool:
+    """Whether the sentence begins with the whole core and goes on, after a point with a digit."""
+    return len(text) > len(core) and text.startswith(core) and (core[-1] != "." or text[len(core)].isdigit())
 
-    Texts are sorted across partitions; a shortened version stands right before what continues it.  Each
-    partition compares neighbours as they stream by and reports its first and last text, so that the pairs at
-    the edges of partitions are compared too (two texts a partition).
+
+def shortened_versions(pairs: DataFrame) -> DataFrame:
+    """(core): the last sentences of answers that another sentence continues.
+
+    Sentences are sorted across partitions; what continues a sentence is next to it.  Each partition compares neighbours
+    as they stream by and reports its first and last sentence, so that the pairs at the edges of partitions are compared
+    too (two sentences a partition).
     """
-    distinct = texts.where(F.length("final_text") >= SHORTENED_CHARS).select("final_text").distinct()
-    ordered = distinct.repartitionByRange("final_text").sortWithinPartitions("final_text")
+    rows = _sentences(pairs)
+    every = rows.select(F.explode("sentences").alias("core"), F.lit(False).alias("asked")).unionByName(rows.where("core is not null").select("core", F.lit(True).alias("asked")))
+    ordered = every.groupBy("core").agg(F.max("asked").alias("asked")).repartitionByRange("core").sortWithinPartitions("core")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyspark
 
         part = pyspark.TaskContext.get().partitionId()
-        before, first, out = None, True, ([], [], [])
+        before, first, out = None, True, ([], [], [], [])
+
+        def add(*row) -> None:  # noqa: ANN002
+            for c, v in zip(out, row):
+                c.append(v)
+
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if first:
-                    for c, v in zip(out, (text, "first", part)):
-                        c.append(v)
+                    add(text, asked, "first", part)
                     first = False
-                elif _continues(before, text):
-                    for c, v in zip(out, (before, "short", part)):
-                        c.append(v)
-                before = text
+                elif before[1] and _goes_on(before[0], text):
+                    add(before[0], True, "short", part)
+                before = text, asked
         if before is not None:
-            for c, v in zip(out, (before, "last", part)):
-                c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], ["final_text", "kind", "part"])
-
-    seen = ordered.mapInArrow(run, "final_text string, kind string, part bigint")
-    edges = seen.where("kind <> 'short'")
-    following = F.lead("final_text").over(Window.orderBy("part", F.col("kind") == "last"))  # two rows a partition
-    stitched = edges.select("final_text", "kind", following.alias("next")).where("kind = 'last' and next is not null and startswith(next, final_text)")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([_continues(a, b) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], pa.bool_()))
-
-    cut = stitched.select("final_text", "next").mapInArrow(check, "final_text string, next string").select("final_text")
-    return seen.where("kind = 'short'").select("final_text").unionByName(cut)
+            add(*before, "last", part)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.bool_()), pa.array(out[2], pa.string()), pa.array(out[3], pa.int64())], ["core", "asked", "kind", "part"])
 
-
-def _continues(text: str, longer: str) -> bool:
-    """Whether ``longer`` goes on where ``text`` stops without a sentence's end, or inside a number or word."""
-    if len(longer) <= len(text) or not longer.startswith(text):
-        return False
-    after, end = longer[len(text)], stripped(text)[-1:]
-    if text[-1] in _STOPS + _CLOSERS:
-        return text[-1] in ".," and after.isdigit() and text[-2:-1].isdigit()
-    return after.isalnum() and end.isalnum() or not _ITEM.match(text.rsplit("\n", 1)[-1]) and is_unfinished(text)
+    seen = ordered.mapInArrow(run, "core string, asked boolean, kind string, part bigint")
+    following = F.lead("core").over(Window.orderBy("part", F.col("kind") == "last"))  # two rows a partition
+    edges = seen.where("kind <> 'short'").select("core", "asked", "kind", following.alias("next"))
+    cut = edges.where("kind = 'last' and asked and startswith(next, core) and (core not like '%.' or substring(next, length(core) + 1, 1) rlike '[0-9]')").select("core")
+    return seen.where("kind = 'short'").select("core").unionByName(cut)
 
 
 def length_limits(pairs: DataFrame) -> DataFrame:
@@ -252,7 +256,7 @@ def length_limits(pairs: DataFrame) -> DataFrame:
     shifts = F.array(*[F.lit(i) for i in range(-SPIKE_REACH, SPIKE_REACH + 1)])
     around = lengths.select(F.explode(shifts).alias("d"), "n_chars", "n").groupBy((F.col("n_chars") + F.col("d")).alias("n_chars"))
     around = around.agg(F.sum(F.when(F.col("d") == 0, F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(F.col("d") != 0, F.col("n")).otherwise(0)).alias("near"))
-    limit = (F.col("n") >= SPIKE_ANSWERS) & (F.col("n") > SPIKE_TIMES * F.col("near") / (2 * SPIKE_REACH)) & (F.col("n_chars") >= SHORTENED_CHARS)
+    limit = F.col("n") > SPIKE_TIMES * (F.col("near") / (2 * SPIKE_REACH) + 1)
     return around.where(limit).select("n_chars")
 
 
@@ -261,9 +265,11 @@ def defective_pairs(events: DataFrame) -> DataFrame:
     from tidewell.runtime import materialise, spread
 
     pairs = materialise(turn_pairs(spread(events.select("session_id", "sequence", "payload_json"))), "pairs")
-    short = shortened_versions(pairs).distinct().withColumn("shortened", F.lit(True))
+    # joined by a number; pairs that ask for nothing have one of their own, so no key gathers them
+    short = shortened_versions(pairs).select(F.xxhash64("core").alias("key")).distinct().withColumn("found", F.lit(True))
     limits = length_limits(pairs).withColumn("at_limit", F.lit(True))
-    marked = spread(pairs).join(short, "final_text", "left").withColumn("n_chars", F.length("final_text")).join(limits, "n_chars", "left")
+    asked = _sentences(spread(pairs)).withColumn("key", F.when(F.col("core").isNotNull(), F.xxhash64("core")).otherwise(F.xxhash64("session_id", "turn_id")))
+    marked = asked.join(short, "key", "left").withColumn("shortened", F.col("found") & F.col("core").isNotNull()).withColumn("n_chars", F.length("final_text")).join(limits, "n_chars", "left")
     columns = ["session_id", "turn_id", "user_message", "final_text", "truncated_code", "filtered_code", "shortened", "at_limit"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
