@@ -135,14 +135,19 @@ def _compressed(nodes: DataFrame, keys: list[str], k: int) -> DataFrame:
     return spread.mapInArrow(run, schema)
 
 
+def finite_values(rows: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
+    """(keys, measure, x): one row for each finite value."""
+    long = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("x")) for m in measures])).alias("v")).select(*keys, "v.measure", "v.x")
+    return long.where(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf")))
+
+
 def digests(rows: DataFrame, keys: list[str], measures: list[str], k: int = K) -> DataFrame:
     """One digest per combination of ``keys`` and measure: (keys, measure, node, cnt, high).
 
     Values are counted by cell before anything is shuffled, so a key with a third of all rows sends no more
     than its cells from each task.  ``high`` is the greatest value that a node has taken in.
     """
-    long = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("x")) for m in measures])).alias("v")).select(*keys, "v.measure", "v.x")
-    finite = long.where(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf")))
+    finite = finite_values(rows, keys, measures)
     cells = finite.groupBy(*keys, "measure", node_of(F.col("x")).alias("node")).agg(F.count(F.lit(1)).alias("cnt"), F.max("x").alias("high"))
     return _compressed(cells, [*keys, "measure"], k)
 
@@ -175,5 +180,5 @@ def percentiles(digest: DataFrame, keys: list[str], fractions: list[float], k: i
 
 def distinct_samples(iris: DataFrame) -> DataFrame:
     """The rows with each ``sample_id`` once; rows without an id are all kept."""
-    known = iris.where(F.col("sample_id").isNotNull()).dropDuplicates(["sample_id"])
-    return known.unionByName(iris.where(F.col("sample_id").isNull()))
+    own = F.when(F.col("sample_id").isNull(), F.monotonically_increasing_id())  # so that no key gathers rows without an id
+    return iris.withColumn("__own", own).dropDuplicates(["sample_id", "__own"]).drop("__own")

@@ -28,6 +28,19 @@ def p1_daily_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.percentiles(_day_digests(spark, sf_dir), ["species", "measured_on"], [0.5])
 
 
+def p1_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the stated bound holds for digests that compress (k = 24), counted over all values."""
+    k = 24
+    rows = quantiles.distinct_samples(table(spark, sf_dir, "iris").select("sample_id", "species", "measured_on", *MEASURES))
+    days = materialise(quantiles.digests(rows, ["species", "measured_on"], MEASURES, k), "digests")
+    got = quantiles.percentiles(quantiles.merge(days, ["species"], k), ["species"], FRACTIONS, k)
+    values = quantiles.finite_values(rows, ["species"], MEASURES).withColumnRenamed("species", "s").withColumnRenamed("measure", "m")
+    both = got.join(values, F.col("species").eqNullSafe(F.col("s")) & (F.col("measure") == F.col("m")))
+    upto, below = F.count_if(F.col("x") <= F.col("value")), F.count_if(quantiles.node_of(F.col("x")) < quantiles.node_of(F.col("value")))
+    counted = both.groupBy("species", "measure", "p", "n", "rank_error").agg(upto.alias("upto"), below.alias("below"), F.count(F.lit(1)).alias("rows"))
+    return counted.select("species", "measure", "p", "n", ((F.col("rows") == F.col("n")) & (F.col("upto") >= F.col("p") * F.col("n") - 1e-6) & (F.col("below") <= F.col("p") * F.col("n") + F.col("rank_error"))).alias("holds"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every defective pair with its defect."""
     return pairs.defective_pairs(table(spark, sf_dir, "assistant_event"))
@@ -68,7 +81,7 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.restore(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_daily_medians, p3_found, p5_found, p5_conversations, p6_ids, p7_found, p7_report, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_daily_medians, p1_bound, p3_found, p5_found, p5_conversations, p6_ids, p7_found, p7_report, p8_found, p8_restored)}
 
 _CELLS = """
 WITH once AS (SELECT species, measured_on, sepal_length, petal_length FROM iris QUALIFY row_number() OVER (PARTITION BY sample_id) = 1),
@@ -115,6 +128,7 @@ dropped AS (
 #: Exact while no group has twice K rows (sf0.01): up to that size a digest has nothing to compress.
 SQL = {
     "p1_percentiles": _ranked("species", FRACTIONS),
+    "p1_bound": _CELLS + f"SELECT species, measure, CAST(p AS DOUBLE) AS p, count(*) AS n, true AS holds FROM cells, (VALUES {', '.join(f'({p})' for p in FRACTIONS)}) AS f(p) GROUP BY ALL",
     "p5_found": _MESSAGES + "SELECT session_id FROM dropped",
     "p5_conversations": _MESSAGES
     + """SELECT m.session_id, m.turn AS turn_id, t.a AS turn_start, m.sequence, CASE type WHEN 'turn_started' THEN 'user' WHEN 'turn_completed' THEN 'assistant' ELSE role END AS role, text
