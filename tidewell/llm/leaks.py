@@ -42,7 +42,7 @@ from tidewell.runtime import materialise, spread
 SPAN, PER = 20, 7
 SPAN_EAST, PER_EAST, GRAM = 40, 12, 4
 #: Terms looked up beyond the ones that changes may spoil; so many more must then be found in one place.
-EXTRA = 3
+EXTRA = 7
 #: How far the places of one passage may drift apart by words lost or added, on top of the share of changes.
 DRIFT = 8
 #: Places (document position less item position) are intersected in overlapping stretches of twice this length; the
@@ -282,25 +282,15 @@ def _tiles(inside: list[tuple[int, int]], frequency: dict[int, int]) -> list[tup
     return best
 
 
-def may_hold(item: list, window: list, east: bool, place: int) -> bool:
+def may_hold(item: np.ndarray, window: np.ndarray, east: bool, place: int) -> bool:
     """Whether a window of the item has enough of its words where the document has the item from ``place`` of the window on,
     give or take a stretch."""
     span, per = min(SPAN_EAST if east else SPAN, len(item)), PER_EAST if east else PER
     changes = most_changes(span, per, len(item))
-    at: dict = {}
-    for j, w in enumerate(window):
-        at.setdefault(w, []).append(j)
-    low, high = place - changes, place + 2 * STRETCH + changes
-    inside, n = [], 0
-    for i, w in enumerate(item):
-        hit = any(i + low <= j <= i + high for j in at.get(w, ()))
-        inside.append(hit)
-        n += hit
-        if i >= span:
-            n -= inside[i - span]
-        if n >= span - changes and i >= span - 1:
-            return True
-    return False
+    off = np.arange(len(window))[None, :] - np.arange(len(item))[:, None] - place
+    hit = ((item[:, None] == window[None, :]) & (off >= -changes) & (off <= 2 * STRETCH + changes)).any(1)
+    inside = np.concatenate(([0], np.cumsum(hit)))
+    return bool((inside[span:] - inside[:-span]).max() >= span - changes)
 
 
 def aligned(item: list, doc: list, east: bool) -> tuple[int, int] | None:
@@ -387,16 +377,16 @@ def _moved_together(blocks: list[tuple[int, int, int]], item: list, doc: list) -
     return out[::-1]
 
 
-def verified(item: list[int], stretches: list[int], starts: list[int], windows: list[list[int]]) -> tuple[int, int] | None:
+def verified(item: np.ndarray, stretches: list[int], starts: list[int], windows: list[np.ndarray]) -> tuple[int, int] | None:
     """The longest span of the item in one of the windows of a document, or in neighbouring ones put together."""
-    east, best = is_east(item), None
-    runs: list[list[list[int]]] = []
+    east, best = bool((item & 1).sum() > len(item) / 2), None
+    runs: list[list[np.ndarray]] = []
     end = -1
     for stretch, start, window in zip(stretches, starts, windows):
         if not may_hold(item, window, east, stretch * STRETCH - start):
             continue
         if start <= end and runs:
-            runs[-1][0] = runs[-1][0] + window[end - start :]
+            runs[-1][0] = np.concatenate((runs[-1][0], window[max(end - start, 0) :]))
             runs[-1].append(window)
         else:
             runs.append([window, window])
@@ -406,12 +396,18 @@ def verified(item: list[int], stretches: list[int], starts: list[int], windows:
         for w in [joined, *own] if len(own) > 4 else [joined]:
             if best and best[0] == len(item):
                 return best
-            found = aligned(item, w, east)
+            found = aligned(item.tolist(), w.tolist(), east)
             if found and (best is None or found[0] > best[0]):
                 best = found
     return best
 
 
+def _arrays(lists: pa.ListArray) -> list[np.ndarray]:
+    """The rows of a list column."""
+    values, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, shared_words, changes, whole) of every leak; ``whole`` if the span is the item."""
     store = materialise(token_store(documents, "doc_id"), "tokens")
@@ -436,10 +432,15 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for doc, item_id, item, stretches, starts, windows in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                best = verified(item, stretches, starts, windows)
-                if best:
-                    rows.append((doc, item_id, *best, best[0] == len(item)))
+            for k in range(0, batch.num_rows, 500):  # so that few are held at once
+                part = batch.slice(k, 500)
+                nested = part.column(5)
+                inner, at = _arrays(nested.values), nested.offsets.to_pylist()
+                docs, ids, stretches, starts = (part.column(i).to_pylist() for i in (0, 1, 3, 4))
+                for j, item in enumerate(_arrays(part.column(2))):
+                    best = verified(item, stretches[j], starts[j], inner[at[j] : at[j + 1]])
+                    if best:
+                        rows.append((docs[j], ids[j], *best, best[0] == len(item)))
             columns = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()))], ["doc_id", "item_id", "shared_words", "changes", "whole"])
 
