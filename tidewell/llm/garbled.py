@@ -21,7 +21,6 @@ changed; every text is read whole; an empty table gives no rows; further columns
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -436,45 +435,37 @@ def repair(text: str | None, model: Model, margin: float = MARGINS[1]) -> tuple[
 
 def _repair(text: str, suspicious: np.ndarray, model: Model, margin: float) -> tuple[bool, str, str, bool]:
     """``repair``, given where the suspicious characters are."""
-    chains: Counter = Counter()
+    chains: set[str] = set()
     lossy = False
 
-    def fix(piece: str, level: int, left: str, right: str) -> str:
-        nonlocal lossy
+    def fix(piece: str, level: int, left: str, right: str) -> tuple[str, bool, frozenset]:
+        """(text, whether bytes are lost, chains) of a piece; remembered, as pieces recur."""
         if piece.isascii():
-            return piece
+            return piece, False, frozenset()
         key = (left, piece, right, level)
         known = model.done.get(key)
         if known is None:
-            used: Counter = Counter()
-            known = (*_fix(piece, level, left, right, used), used)
-            if len(model.done) > 200_000:
+            known = _fix(piece, level, left, right)
+            if len(model.done) > 100_000:
                 model.done.clear()
             model.done[key] = known
-        chains.update(known[2])
-        lossy |= known[1]
-        return known[0]
+        return known
 
-    def _fix(piece: str, level: int, left: str, right: str, used: Counter) -> tuple[str, bool]:
+    def _fix(piece: str, level: int, left: str, right: str) -> tuple[str, bool, frozenset]:
         if model.worst(left + piece + right) >= USUAL:
-            return piece, False
+            return piece, False, frozenset()
         found = _best(left, piece, right, model, margin)
         if found and (level > 0 or not _spoils(found[1], piece, model)):
-            used[found[1]] += 1
-            return found[0], found[2] > 0
+            return found[0], found[2] > 0, frozenset((found[1],))
         if level == len(_CUTS):
-            return piece, False
-        out, at, lost = [], 0, False
+            return piece, False, frozenset()
+        out, at, lost, used = [], 0, False, frozenset()
         for m in _CUTS[level].finditer(piece):
             i, j = m.span()
-            part, gone = inner(m.group(), level + 1, piece[i - 1] if i else left, piece[j] if j < len(piece) else right, used)
+            part, gone, names = fix(m.group(), level + 1, piece[i - 1] if i else left, piece[j] if j < len(piece) else right)
             out += [piece[at:i], part]
-            lost |= gone
-            at = j
-        return "".join(out) + piece[at:], lost
-
-    def inner(piece: str, level: int, left: str, right: str, used: Counter) -> tuple[str, bool]:
-        return (piece, False) if piece.isascii() else _fix(piece, level, left, right, used)
+            lost, used, at = lost or gone, used | names, j
+        return "".join(out) + piece[at:], lost, used
 
     out, done = [], 0
     for i in suspicious.tolist():
@@ -483,8 +474,10 @@ def _repair(text: str, suspicious: np.ndarray, model: Model, margin: float) -> t
         start = max(text.rfind("\n", 0, i), text.rfind("\r", 0, i)) + 1
         ends = [e for e in (text.find("\n", i), text.find("\r", i)) if e >= 0]
         end = min(ends, default=len(text))
-        out += [text[done:start], fix(text[start:end], 0, " ", " ")]
-        done = end
+        line, gone, names = fix(text[start:end], 0, " ", " ")
+        out += [text[done:start], line]
+        chains |= names
+        lossy, done = lossy or gone, end
     restored = "".join(out) + text[done:]
     left = "�" in restored or bool(_C1.search(restored))
     garbled = bool(chains) or "�" in text or bool(_C1.search(text))
