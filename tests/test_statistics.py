@@ -314,3 +314,18 @@ def test_threshold_query_tries_the_default_number_of_splits(spark, monkeypatch):
     monkeypatch.setattr(L, "threshold", lambda *args, **more: asked.update(more) or {"threshold": 0.0, "rss": 0.0})
     queries()["regression_threshold"](spark, "/root/testdata/sf0.001")
     assert not asked
+
+
+def test_power_of_two_groups_and_discrepancy_by_hand():
+    from tidewell.stats import special as sp
+
+    def two_sided(shift):
+        z = sp.normal_quantile(0.975)
+        return sp.normal_sf(z - shift) + sp.normal_cdf(-z - shift)
+
+    p1 = 0.25 * 2 / (1 + 0.25 * 2)
+    shift = np.log(2) * np.sqrt(100 / (1 / 0.16 + 1 / (p1 * (1 - p1))))
+    assert FA.power_of("logistic", 100, probability=0.2, odds_ratio=2.0) == pytest.approx(two_sided(shift), abs=1e-6)
+    assert FA.power_of("poisson", 50, rate=0.5, rate_ratio=1.5, exposure=2.0) == pytest.approx(two_sided(np.log(1.5) / np.sqrt(1 / 50 + 1 / 75)), abs=1e-6)
+    assert FA.power_of("cox", 200, hazard_ratio=1.5, event_fraction=0.6, predictor_variance=0.25) == pytest.approx(two_sided(np.log(1.5) * np.sqrt(30)), abs=1e-6)
+    assert FA.centered_discrepancy(np.array([[0.5]])) == pytest.approx(13 / 12 - 2 + 1)  # one point in the middle of a line

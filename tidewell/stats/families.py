@@ -212,16 +212,19 @@ def power_of(test: str, n: float, alpha: float = 0.05, alternative: str = "two_s
         z, s = sp.normal_quantile(1 - alpha), math.sqrt(2 * e["sd"] ** 2 / n)
         return max(0.0, sp.normal_cdf((e["margin"] - e["difference"]) / s - z) - sp.normal_cdf(-(e["margin"] + e["difference"]) / s + z))
     if test == "poisson":
-        return normal((math.log(e["rate_ratio"])) / math.sqrt((1 / e["rate"] + 1 / (e["rate"] * e["rate_ratio"])) / n))
+        events = n * e["rate"] * e.get("exposure", 1.0)
+        return normal(math.log(e["rate_ratio"]) / math.sqrt(1 / events + 1 / (events * e["rate_ratio"])))
     if test == "logistic":
-        p = e["probability"]
-        return normal(math.log(e["odds_ratio"]) * math.sqrt(n * p * (1 - p)))
+        odds = [e["probability"] / (1 - e["probability"]) * r for r in (1.0, e["odds_ratio"])]
+        return normal(math.log(e["odds_ratio"]) * math.sqrt(n / sum((1 + o) ** 2 / o for o in odds)))  # 1 / (p (1 - p)) of both groups
+    if test == "cox":
+        return normal(math.log(e["hazard_ratio"]) * math.sqrt(n * e["event_fraction"] * e["predictor_variance"]))
     if test == "cluster_mean":
         return student(2 * (n - 1), e["effect_size"] * math.sqrt(n * e["cluster_size"] / (1 + (e["cluster_size"] - 1) * e["icc"]) / 2))
     raise ValueError(f"unknown test {test}")
 
 
-POWER_TESTS = ("normal_mean", "paired", "mean_difference", "proportion", "proportion_difference", "variance", "correlation", "anova", "regression", "chi_square", "logrank", "noninferiority", "equivalence", "poisson", "logistic", "cluster_mean")
+POWER_TESTS = ("normal_mean", "paired", "mean_difference", "proportion", "proportion_difference", "variance", "correlation", "anova", "regression", "chi_square", "logrank", "noninferiority", "equivalence", "poisson", "logistic", "cox", "cluster_mean")
 
 
 def sample_size(test: str, target: float = 0.8, **e: float) -> int:
@@ -260,12 +263,12 @@ def orthogonal_design(levels: int, factors: int) -> np.ndarray:
 
 
 def centered_discrepancy(x: np.ndarray) -> float:
-    """Centered L2 discrepancy of points in the unit cube."""
+    """Centered L2 discrepancy of points in the unit cube, squared as it is usually given."""
     n, s = x.shape
     d = np.abs(x - 0.5)
     a = (13 / 12) ** s - 2 / n * np.prod(1 + 0.5 * d - 0.5 * d * d, 1).sum()
     b = sum(np.prod(1 + 0.5 * d[i] + 0.5 * d - 0.5 * np.abs(x[i] - x), 1).sum() for i in range(n))
-    return float(math.sqrt(max(a + b / n**2, 0)))
+    return float(max(a + b / n**2, 0))
 
 
 def uniform_design(runs: int, factors: int, candidates: int = 200, seed: int = 0) -> tuple[np.ndarray, float]:
