@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell.stats import association as AS
 from tidewell.stats import decision as D
@@ -15,6 +16,7 @@ from tidewell.stats import models as MO
 from tidewell.stats import special as sp
 from tidewell.stats import survival as S
 from tidewell.stats import timeseries as TS
+from tidewell.stats.core import exact_median
 
 near = lambda a, b, t=1e-8: np.allclose(a, b, rtol=t, atol=t)
 
@@ -329,3 +331,27 @@ def test_power_of_two_groups_and_discrepancy_by_hand():
     assert FA.power_of("poisson", 50, rate=0.5, rate_ratio=1.5, exposure=2.0) == pytest.approx(two_sided(np.log(1.5) / np.sqrt(1 / 50 + 1 / 75)), abs=1e-6)
     assert FA.power_of("cox", 200, hazard_ratio=1.5, event_fraction=0.6, predictor_variance=0.25) == pytest.approx(two_sided(np.log(1.5) * np.sqrt(30)), abs=1e-6)
     assert FA.centered_discrepancy(np.array([[0.5]])) == pytest.approx(13 / 12 - 2 + 1)  # one point in the middle of a line
+
+
+def test_robust_regression_finds_the_median_in_bins(spark, xy, monkeypatch):
+    p, df = xy
+
+    def held(*_):
+        raise AssertionError("holds every distinct value in one task")
+
+    for module in (MO, H):
+        monkeypatch.setattr(module.F, "median", held)
+    for loss, c in (("huber", 1.345), ("tukey", 4.685)):
+        q = p.assign(y=p.y + np.where(p.i < 20, 1e6, 0.0))
+        X, b, e = ols(q, ["x1", "x2"])
+        for _ in range(60):
+            u = np.abs(e) / (c * np.median(np.abs(e)) / 0.67448975)
+            w = np.where(u <= 1, 1.0, 1 / np.maximum(u, 1)) if loss == "huber" else np.where(u < 1, (1 - u * u) ** 2, 0.0)
+            b = np.linalg.solve((X.T * w) @ X, (X.T * w) @ q.y)
+            e = (q.y - X @ b).to_numpy()
+        r = MO.robust(df.withColumn("y", F.col("y") + F.when(F.col("i") < 20, 1e6).otherwise(0.0)), "y", ["x1", "x2"], loss)
+        assert near(r["parameters"], b, 1e-5), loss
+    for values in ([3.0], [1.0, 2.0], [0.0] * 5, [5.0, 5.0, 7.0, 7.0], [1e-300, 1e300, 2.0, 1e-9], [*range(100_001)], [-1.0, -1.0 + 1e-15, -1.0 + 3e-15]):
+        d = spark.createDataFrame([(float(v),) for v in values], "v double")
+        for low, high in ((0.0, 1.0), (7.0, 7.0)):
+            assert exact_median(d, F.col("v"), low, high) == np.median(values), values

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.guards import operand
 
+#: Bins of a pass that looks for a median.
+BINS = 1 << 14
+
 
 def frame(spark: SparkSession, rows: dict | list[dict]) -> DataFrame:
     """Results as a table; numbers as double, counts as they are."""
@@ -96,6 +99,24 @@ def fitted(x: list[str | Column], beta: np.ndarray, constant: bool = True) -> Co
     return total
 
 
+def exact_median(df: DataFrame, value: Column, low: float, high: float) -> float:
+    """The median, exactly, without a sort and without holding the distinct values.
+
+    Values are counted in equal bins between ``low`` and ``high``, a guess, with a bin for what lies below and one for
+    what lies above; then within the bin that holds the middle, and so on.  A pass sends ``BINS`` rows at most.
+    """
+    v, values = F.col("v"), df.select(value.alias("v"))
+    while True:
+        at = F.floor((v - low) / ((high - low) or 1.0) * BINS)
+        bins = values.groupBy(F.when(v < low, -1).when(v > high, BINS + 1).otherwise(at).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        got = bins.toPandas().sort_values("b")
+        upto = got["n"].cumsum().to_numpy()
+        a, b = (got.iloc[np.searchsorted(upto, k)] for k in ((upto[-1] + 1) // 2, upto[-1] // 2 + 1))  # the two in the middle
+        if a["b"] != b["b"] or a["low"] == a["high"]:
+            return float((a["high"] + b["low"]) / 2)
+        low, high = float(a["low"]), float(a["high"])
+
+
 def midranks(df: DataFrame, value: str, group: list[str] = (), name: str = "rank") -> DataFrame:
     """Adds the mean rank of ties.
 

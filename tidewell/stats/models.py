@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.guards import operand
 from tidewell.stats import special as sp
-from tidewell.stats.core import fitted, maximise, moments, solve_ls
+from tidewell.stats.core import exact_median, fitted, maximise, moments, solve_ls
 
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 _erfc = np.vectorize(math.erfc, otypes=[float])
@@ -435,12 +435,18 @@ def quantile(df: DataFrame, y: str, x: list, q: float = 0.5, iterations: int = 2
 
 
 def robust(df: DataFrame, y: str, x: list, loss: str = "huber", tuning: float | None = None, iterations: int = 200, tolerance: float = 1e-7) -> dict:
-    """Huber or Tukey weights; the scale is the median absolute residual over 0.67448975, renewed each step."""
+    """Huber or Tukey weights; the scale is the median absolute residual over 0.67448975, renewed each step.
+
+    The median is looked for around the one of the step before.
+    """
     c = tuning or {"huber": 1.345, "tukey": 4.685}[loss]
-    beta = solve_ls(df, y, x)["beta"]
+    first = solve_ls(df, y, x)
+    beta, middle, near = first["beta"], 0.0, 3 * math.sqrt(first["rss"] / first["n"])
     for step in range(iterations):
         e = operand(y) - fitted(x, beta)
-        s = df.agg(F.median(F.abs(e))).first()[0] / 0.67448975
+        before, middle = middle, exact_median(df, F.abs(e), max(middle - near, 0.0), middle + near)
+        near = 2 * abs(middle - before)
+        s = middle / 0.67448975
         u = F.abs(e) / (c * s)
         w = F.when(u <= 1, 1.0).otherwise(1 / u) if loss == "huber" else F.when(u < 1, (1 - u * u) * (1 - u * u)).otherwise(0.0)
         new = solve_ls(df.select("*", w.alias("__w")), y, x, "__w")["beta"]
