@@ -1,3 +1,4 @@
+import itertools
 import math
 
 import numpy as np
@@ -355,3 +356,15 @@ def test_robust_regression_finds_the_median_in_bins(spark, xy, monkeypatch):
         d = spark.createDataFrame([(float(v),) for v in values], "v double")
         for low, high in ((0.0, 1.0), (7.0, 7.0)):
             assert exact_median(d, F.col("v"), low, high) == np.median(values), values
+
+
+def test_stepwise_may_select_nothing(spark, tmp_path):
+    """The price is the same for all values of every predictor: the constant alone is best."""
+    from tidewell.plans.statistics import QUERIES
+
+    cells = itertools.product((1, 2), (1.0, 2.0), (0.03, 0.04), (0.05, 0.06), (100.0, 200.0))
+    rows = [(o, 1, q, p, d, t, "N", "O") for o, q, d, t, p in cells]
+    schema = "l_orderkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = QUERIES["regression_stepwise"](spark, str(tmp_path))
+    assert got.dtypes == [("term", "string")] and got.collect() == []

@@ -377,8 +377,10 @@ def regression_grouped(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query()
-def regression_stepwise(spark: SparkSession, d: str) -> list:
-    return [{"term": t} for t in L.stepwise(_line(spark, d), "l_extendedprice", ["l_quantity", "l_discount", "l_tax", "days"])]
+def regression_stepwise(spark: SparkSession, d: str) -> DataFrame:
+    """No rows if the constant alone is best."""
+    terms = L.stepwise(_line(spark, d), "l_extendedprice", ["l_quantity", "l_discount", "l_tax", "days"])
+    return spark.createDataFrame([(t,) for t in terms], "term string")
 
 
 @query()
