@@ -368,3 +368,19 @@ def test_stepwise_may_select_nothing(spark, tmp_path):
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "lineitem.parquet"))
     got = QUERIES["regression_stepwise"](spark, str(tmp_path))
     assert got.dtypes == [("term", "string")] and got.collect() == []
+
+
+def test_cmh_of_large_strata(spark):
+    """Strata of 4,000,000 rows and more: products of their counts are beyond 64 bits."""
+    from fractions import Fraction
+
+    tables = {"F": (1_300_000, 900_000, 700_000, 1_100_000), "O": (900_000, 1_000_000, 1_100_000, 1_200_001), "one": (1, 0, 0, 0)}
+    cells = [(s, x, y, k) for s, t in tables.items() for (x, y), k in zip(((1, 1), (1, 0), (0, 1), (0, 0)), t)]
+    rows = spark.createDataFrame(cells, "s string, x int, y int, k int").select("s", "x", "y", F.explode(F.array_repeat(F.lit(True), F.col("k"))).alias("_"))
+    e = v = p = q = Fraction(0)
+    for a, b, c, d in tables.values():
+        n, r, m = a + b + c + d, a + b, a + c
+        e, p, q = e + a - Fraction(r * m, n), p + Fraction(a * d, n), q + Fraction(b * c, n)
+        v += Fraction(r * (n - r) * m * (n - m), n * n * (n - 1)) if n > 1 else 0
+    got = H.cmh(rows, "x", "y", "s")
+    assert near(got["statistic"], float(e * e / v), 1e-12) and near(got["common_odds_ratio"], float(p / q), 1e-12)

@@ -206,7 +206,8 @@ def mcnemar(df: DataFrame, before: str, after: str) -> dict:
 def cmh(df: DataFrame, exposed: str, outcome: str, strata: str) -> dict:
     """One row per stratum comes to the driver."""
     x, y = F.col(exposed).cast("int"), F.col(outcome).cast("int")
-    t = df.groupBy(strata).agg(F.count_if((x == 1) & (y == 1)).alias("a"), F.count_if((x == 1) & (y == 0)).alias("b"), F.count_if((x == 0) & (y == 1)).alias("c"), F.count_if((x == 0) & (y == 0)).alias("d"))
+    cells = {"a": (1, 1), "b": (1, 0), "c": (0, 1), "d": (0, 0)}
+    t = df.groupBy(strata).agg(*[F.count_if((x == i) & (y == j)).cast("double").alias(k) for k, (i, j) in cells.items()])  # products of four counts are no longs
     n = F.col("a") + F.col("b") + F.col("c") + F.col("d")
     r1, c1 = F.col("a") + F.col("b"), F.col("a") + F.col("c")
     var = F.when(n > 1, r1 * (n - r1) * c1 * (n - c1) / (n * n * (n - 1))).otherwise(0.0)
