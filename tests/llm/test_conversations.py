@@ -80,6 +80,26 @@ def test_any_batches_give_the_same_with_the_default_lateness(spark, tmp_path, fi
         assert len(done.batches) == 5 and sum(b.late for b in done.batches) > 10 and sum(b.revised for b in done.batches) > 3
 
 
+def test_the_queries_work_off_a_single_file_in_batches(spark, tmp_path, monkeypatch):
+    """The watermark closes sessions while the log is read, and what comes late revises their verdicts."""
+    from tidewell.llm.queries import p5_conversations, p5_found
+
+    month = 31 * 24 * 3_600_000
+    rows = [r for i in range(40) for r in turn(f"s{i}", 1, "a", at=1_740_000_000_000 + i * month)]
+    rows[60:60] = [e("s0", 9, "turn_started", "b")]  # s0 was sound when it was closed
+    rows[70:70] = turn("s1", 9, "b", at=1_740_000_000_000 + month)
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "log"))
+    shutil.copy(next((tmp_path / "log").glob("part-*.parquet")), tmp_path / "assistant_event.parquet")
+    runs, rebuild = [], C.rebuild
+    monkeypatch.setattr(C, "rebuild", lambda *a, **k: runs.append(rebuild(*a, **k)) or runs[-1])
+    assert {r["session_id"] for r in p5_found(spark, str(tmp_path)).collect()} == {"s0"}
+    kept = p5_conversations(spark, str(tmp_path))
+    assert kept.count() == 2 * 39 + 2 and kept.where("session_id = 's1'").count() == 4
+    for run in runs:
+        assert len(run.batches) == C.BATCHES and sum(b.rows for b in run.batches) == len(rows)
+        assert sum(b.closed for b in run.batches) > 10 and sum(b.late for b in run.batches) >= 3 and sum(b.revised for b in run.batches) >= 1
+
+
 def test_clocks_far_ahead_or_missing_are_not_late(spark):
     at = [2_900_000_000_000, 5, 9_999, 10_001]
     rows = spark.createDataFrame([e("s", i, "turn_started", "a", at=a - i) for i, a in enumerate(at)] + [("s", 4, "{}")], SCHEMA)

@@ -25,6 +25,7 @@ no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -39,6 +40,8 @@ BLOCK = 2048
 #: Idle time after which a session is closed, and how late rows may come behind the newest event time.
 IDLE, LATENESS = "30 days", "10 days"
 AHEAD = "365 days"
+#: Batches in which the queries work off a log.
+BATCHES = 4
 #: The speakers of delegated runs (fixed values of the event log).
 ROLES = ("manager", "data", "stats", "plot", "report", "review")
 KINDS = {"turn_started": "S", "turn_completed": "E", "agent_run_started": "B", "agent_run_finished": "F"}
@@ -134,18 +137,33 @@ class Rebuilt:
         return kept.join(starts, ["session_id", "turn_id"], "left").select("session_id", "turn_id", "turn_start", "sequence", "role", "text")
 
 
-def rebuild(spark: SparkSession, path: str, idle: str = IDLE, lateness: str = LATENESS, files_per_batch: int | None = None) -> Rebuilt:
+def rebuild(spark: SparkSession, path: str, idle: str = IDLE, lateness: str = LATENESS, files_per_batch: int | None = None, batches: int | None = None) -> Rebuilt:
     """Run the event files below ``path`` through the stateful operator, in one batch or ``files_per_batch`` at a time.
 
-    The outcome does not depend on the batches; ``Rebuilt.batches`` counts the late rows and the sessions emitted again.
+    With ``batches``, in about that many batches at least: of several files, or, if there are fewer files, of equal parts
+    of a file by the places of the rows, which is how an append-only log was written.  The outcome does not depend on the
+    batches; ``Rebuilt.batches`` counts the late rows and the sessions emitted again.
     """
     out = Rebuilt(spark, scratch_path(spark, "stream"))
     idle_ms, late_ms = _milliseconds(idle), _milliseconds(lateness)
-    source = spark.readStream.schema(spark.read.parquet(path).select("session_id", "sequence", "payload_json").schema)
+    table = spark.read.parquet(path).select("session_id", "sequence", "payload_json")
+    parts = 1
+    if batches:
+        files = max(len(table.inputFiles()), 1)
+        files_per_batch, parts = max(files // batches, 1), math.ceil(batches / files)
+    source = spark.readStream.schema(table.schema)
     if files_per_batch:
         source = source.option("maxFilesPerTrigger", files_per_batch)
 
     def step(batch: DataFrame, number: int) -> None:
+        last = batch.agg(F.max("place")).first()[0] if parts > 1 else None
+        if last is None:
+            advance(batch, str(number))
+        else:  # a batch is one file
+            for i in range(parts):
+                advance(batch.where(F.floor(F.col("place") * parts / F.lit(last + 1)) == i), f"{number}-{i}")
+
+    def advance(batch: DataFrame, number: str) -> None:
         mark = out.batches[-1].watermark if out.batches else None
         arrived = f"{out.root}/arrived/{number}"
         message_rows(spread(batch), mark).write.mode("overwrite").option("compression", "zstd").parquet(arrived)
@@ -159,14 +177,17 @@ def rebuild(spark: SparkSession, path: str, idle: str = IDLE, lateness: str = LA
             closed, revised = _close(out, out.read([out.state, arrived], _ROWS), mark, idle_ms, number)
         out.batches.append(Progress(n, late, clockless, closed, revised, max(ahead) if ahead else None))
 
-    query = source.parquet(_stream_path(spark, path)).writeStream.foreachBatch(step).option("checkpointLocation", f"{out.root}/checkpoint").trigger(availableNow=True).start()
+    rows = source.parquet(_stream_path(spark, path))
+    if parts > 1:
+        rows = rows.select("*", F.col("_metadata.row_index").alias("place"))
+    query = rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{out.root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     if out.state:  # the end of the stream closes what is open
         _emit(out, out.state, "end")
     return out
 
 
-def _close(out: Rebuilt, open_rows: DataFrame, mark: int | None, idle_ms: int, number: int) -> tuple[int, int]:
+def _close(out: Rebuilt, open_rows: DataFrame, mark: int | None, idle_ms: int, number: str) -> tuple[int, int]:
     """Emit the sessions that the watermark has passed; the rest is the new state.  (sessions closed, emitted again)"""
     last = open_rows.groupBy("session_id").agg(F.max("seen").alias("last"))
     shut = materialise(last.where(F.col("last") + idle_ms <= F.lit(mark).cast("bigint")).select("session_id"), "closed")
@@ -174,7 +195,7 @@ def _close(out: Rebuilt, open_rows: DataFrame, mark: int | None, idle_ms: int, n
     open_rows.join(shut, "session_id", "left_semi").write.mode("overwrite").option("compression", "zstd").parquet(emission)
     open_rows.join(shut, "session_id", "left_anti").write.mode("overwrite").option("compression", "zstd").parquet(state)
     out.state = state
-    return shut.count(), _emit(out, emission, str(number))
+    return shut.count(), _emit(out, emission, number)
 
 
 def _emit(out: Rebuilt, emission: str, name: str) -> int:

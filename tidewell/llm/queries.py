@@ -48,12 +48,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sessions to drop."""
-    return conversations.rebuild(spark, f"{sf_dir}/assistant_event.parquet").dropped()
+    return conversations.rebuild(spark, f"{sf_dir}/assistant_event.parquet", batches=conversations.BATCHES).dropped()
 
 
 def p5_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The messages of all sessions that can be rebuilt."""
-    return conversations.rebuild(spark, f"{sf_dir}/assistant_event.parquet").conversations()
+    return conversations.rebuild(spark, f"{sf_dir}/assistant_event.parquet", batches=conversations.BATCHES).conversations()
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
